@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tesserine.llm import shared
 from tesserine.llm.near_duplicates import near_duplicates
+from tesserine.llm.substrings import remove_repeats
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(spark, shared.documents(spark, sf_dir), length=50, digest=True)
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +20,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_minhash_near_dedup": op10_minhash_near_dedup}
+    return {"op2_substring_dedup": op2_substring_dedup, "op10_minhash_near_dedup": op10_minhash_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

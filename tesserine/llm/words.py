@@ -86,11 +86,11 @@ def row_of(rows: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(rows) - 1), np.diff(rows))
 
 
-def grams(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all ``n`` consecutive words of one row, by the position of the first, and which positions hold one."""
+def runs(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all ``n`` consecutive words, whatever rows they lie in."""
     total = len(hashes)
     if total < n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     if n <= 16:
         out = hashes[: total - n + 1] * TERMS[0]
         for k in range(1, n):
@@ -101,9 +101,19 @@ def grams(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.
         sums[0] = 0
         np.cumsum(hashes * up[:total], out=sums[1:])
         out = (sums[n:] - sums[:-n]) * down[: total - n + 1]
-    end = np.repeat(rows[1:], np.diff(rows))[: total - n + 1]  # where each position's row ends
-    at = np.flatnonzero(np.arange(total - n + 1) + n <= end)
-    return mix(out[at]), at
+    return mix(out)
+
+
+def inside(rows: np.ndarray, n: int) -> np.ndarray:
+    """The positions from which ``n`` words of the same row follow."""
+    end = np.repeat(rows[1:], np.diff(rows))
+    return np.flatnonzero(np.arange(len(end)) + n <= end)
+
+
+def grams(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all ``n`` consecutive words of one row, and the position of the first."""
+    at = inside(rows, n)
+    return runs(hashes, n)[at], at
 
 
 def minimizers(keys: np.ndarray, w: int) -> np.ndarray:
