@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserine.llm import shared
+from tesserine.llm import quality_rules, shared
 from tesserine.llm.near_duplicates import near_duplicates
 from tesserine.llm.substrings import remove_repeats
 
@@ -19,9 +19,14 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, shared.documents(spark, sf_dir), shingle=4, similarity=80)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judged(spark, shared.documents(spark, sf_dir))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_substring_dedup": op2_substring_dedup, "op10_minhash_near_dedup": op10_minhash_near_dedup}
+    return {"op2_substring_dedup": op2_substring_dedup, "op7_quality_rules": op7_quality_rules, "op10_minhash_near_dedup": op10_minhash_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_quality_rules": quality_rules.sql()}
