@@ -1,10 +1,10 @@
 """Quality rules as weak supervision, in DataFrame expressions only.
 
-Seven rules look at each text and vote good (1), bad (-1) or abstain (0). No
+Nine rules look at each text and vote good (1), bad (-1) or abstain (0). No
 labels are used: expectation-maximisation on the counts of vote patterns
 estimates how often each rule gives each vote on good and on bad texts, and the
 posterior probability of good replaces an all-must-pass filter. A pattern is one
-of 3^7 = 2187, so what reaches the driver is bounded whatever the data; votes of
+of 3^9 = 19,683, so what reaches the driver is bounded whatever the data; votes of
 all rows are counted.
 
 Edge cases: a null or blank text has no words; rules on shares abstain for it
@@ -24,12 +24,14 @@ from tesserine.llm import shared
 
 TURNS = 20
 #: Before any evidence: how often a rule says bad, nothing or good of bad texts, and of good ones; rows that this counts for.
-START = {0: {-1: 0.35, 0: 0.15, 1: 0.5}, 1: {-1: 0.02, 0: 0.13, 1: 0.85}}
+START = {0: {-1: 0.4, 0: 0.15, 1: 0.45}, 1: {-1: 0.01, 0: 0.12, 1: 0.87}}
 START_GOOD, PSEUDO = 0.8, 2.0
 
 #: Rules on columns of features(): the first condition votes bad, the second good.
 RULES = {
     "symbols": ("n_symbols > 0.25D * n_words", "n_symbols < 0.05D * n_words"),
+    "marked": ("n_marked > 0.3D * n_words", "n_marked < 0.05D * n_words"),
+    "letters": ("n_letters < 0.85D * word_chars", "n_letters > 0.92D * word_chars"),
     "capitals": ("n_capitals > 0.4D * word_chars", "n_capitals < 0.15D * word_chars"),
     "repeats": ("n_repeat_words > 0.4D * n_words", "n_repeat_words < 0.2D * n_words"),
     "variety": ("n_words between 50 and 2000 and n_distinct < 0.2D * n_words", "n_words between 50 and 2000 and n_distinct > 0.35D * n_words"),
@@ -71,6 +73,8 @@ def features(docs: DataFrame) -> DataFrame:
                 "word_chars": F.length(F.array_join("words", "")).cast("long"),
                 "n_distinct": F.size(F.array_distinct("words")).cast("long"),
                 "n_symbols": F.expr("length(regexp_replace(__t, '[^#*$%&|<>]+', ''))").cast("long"),
+                "n_letters": F.expr(r"length(regexp_replace(__t, '\\P{L}+', ''))").cast("long"),
+                "n_marked": F.expr("if(__t rlike '[#*$%&|<>]', size(filter(words, w -> w rlike '[#*$%&|<>]')), 0)").cast("long"),
                 "n_capitals": F.expr(r"length(regexp_replace(__t, '\\P{Lu}+', ''))").cast("long"),
                 "n_shouts": F.expr("length(regexp_replace(__t, '[^!]+', ''))").cast("long"),
                 "n_lines": F.size("__l").cast("long"),
@@ -82,7 +86,7 @@ def features(docs: DataFrame) -> DataFrame:
     )
 
 
-FEATURES = ["n_words", "word_chars", "n_distinct", "n_symbols", "n_capitals", "n_shouts", "n_lines", "n_dup_lines", "n_repeat_words"]
+FEATURES = ["n_words", "word_chars", "n_distinct", "n_symbols", "n_letters", "n_marked", "n_capitals", "n_shouts", "n_lines", "n_dup_lines", "n_repeat_words"]
 
 
 def vote(rule: str) -> str:
@@ -163,7 +167,8 @@ g as (select doc_id, i, hash(words[i], words[i + 1], words[i + 2]) as h from (se
 d as (select doc_id, i from g qualify count(*) over (partition by doc_id, h) > 1),
 r as (select doc_id, sum(least(3, i - before)) as n from (select doc_id, i, lag(i, 1, -5) over (partition by doc_id order by i) as before from d) group by doc_id),
 f as (select w.doc_id, len(words)::bigint as n_words, coalesce(length(list_aggregate(words, 'string_agg', '')), 0)::bigint as word_chars, len(list_distinct(words))::bigint as n_distinct,
-length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols, length(regexp_replace(t, '\P{Lu}+', '', 'g'))::bigint as n_capitals, length(regexp_replace(t, '[^!]+', '', 'g'))::bigint as n_shouts,
+length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols, length(regexp_replace(t, '\P{Lu}+', '', 'g'))::bigint as n_capitals,
+length(regexp_replace(t, '\P{L}+', '', 'g'))::bigint as n_letters, len(list_filter(words, lambda x: regexp_matches(x, '[#*$%&|<>]')))::bigint as n_marked, length(regexp_replace(t, '[^!]+', '', 'g'))::bigint as n_shouts,
 len(l)::bigint as n_lines, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words from w left join r on r.doc_id is not distinct from w.doc_id),
 v as materialized (select *, """
         + ", ".join(f"{duck(vote(r))} as vote_{r}" for r in rules)
