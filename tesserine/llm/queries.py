@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tesserine.llm import quality_rules, shared
+from tesserine.llm import personal_data, quality_rules, shared
 from tesserine.llm.near_duplicates import near_duplicates
 from tesserine.llm.substrings import remove_repeats
 
@@ -24,8 +25,19 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = personal_data.personal_spans(spark, shared.documents(spark, sf_dir))
+    kinds = personal_data.KINDS[: personal_data.BASE]
+    return spans.select(
+        "doc_id",
+        *[F.expr(f"cast(size(filter(base, x -> x.kind = {k})) as long)").alias(f"n_{kind}") for k, kind in enumerate(kinds)],
+        F.expr(f"sha2({personal_data.joined('base')}, 256)").alias("base_sha256"),
+        F.expr(personal_data.joined("found")).alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_substring_dedup": op2_substring_dedup, "op7_quality_rules": op7_quality_rules, "op10_minhash_near_dedup": op10_minhash_near_dedup}
+    return {"op2_substring_dedup": op2_substring_dedup, "op7_quality_rules": op7_quality_rules, "op9_pii": op9_pii, "op10_minhash_near_dedup": op10_minhash_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
