@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tesserine.llm import personal_data, quality_rules, shared
 from tesserine.llm.near_duplicates import near_duplicates
+from tesserine.llm.secrets import secret_spans
 from tesserine.llm.substrings import remove_repeats
 
 
@@ -20,6 +21,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, shared.documents(spark, sf_dir), shingle=4, similarity=80)
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(shared.documents(spark, sf_dir))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judged(spark, shared.documents(spark, sf_dir))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -37,7 +42,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_substring_dedup": op2_substring_dedup, "op7_quality_rules": op7_quality_rules, "op9_pii": op9_pii, "op10_minhash_near_dedup": op10_minhash_near_dedup}
+    return {"op2_substring_dedup": op2_substring_dedup, "op3_secret_scans": op3_secret_scans, "op7_quality_rules": op7_quality_rules, "op9_pii": op9_pii, "op10_minhash_near_dedup": op10_minhash_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
