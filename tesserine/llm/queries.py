@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm import class_lm, packing, personal_data, quality_rules, shared
+from tesserine.llm import class_lm, packing, personal_data, quality_rules, resharding, shared
 from tesserine.llm.near_duplicates import near_duplicates
 from tesserine.llm.secrets import secret_spans
 from tesserine.llm.substrings import remove_repeats
@@ -35,6 +35,13 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(spark, shared.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the old layout: 32 shards by source, of very unequal sizes
+    old = F.expr("pmod(crc32(cast(coalesce(source, '') as binary)), 32)")
+    placed = resharding.resharded(spark, shared.documents(spark, sf_dir), old, olds=32, news=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judged(spark, shared.documents(spark, sf_dir))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -52,7 +59,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_substring_dedup": op2_substring_dedup, "op3_secret_scans": op3_secret_scans, "op4_lm_scoring": op4_lm_scoring, "op5_best_fit_packing": op5_best_fit_packing, "op7_quality_rules": op7_quality_rules, "op9_pii": op9_pii, "op10_minhash_near_dedup": op10_minhash_near_dedup}
+    return {"op2_substring_dedup": op2_substring_dedup, "op3_secret_scans": op3_secret_scans, "op4_lm_scoring": op4_lm_scoring, "op5_best_fit_packing": op5_best_fit_packing, "op6_sharding": op6_sharding, "op7_quality_rules": op7_quality_rules, "op9_pii": op9_pii, "op10_minhash_near_dedup": op10_minhash_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
