@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm import class_lm, packing, personal_data, quality_rules, resharding, shared
+from tesserine.llm import class_lm, decontamination, packing, personal_data, quality_classifier, quality_rules, resharding, shared
 from tesserine.llm.near_duplicates import near_duplicates
 from tesserine.llm.secrets import secret_spans
 from tesserine.llm.substrings import remove_repeats
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(spark, shared.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark, shared.documents(spark, sf_dir), length=50, digest=True)
 
@@ -47,6 +51,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.scored(spark, shared.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = personal_data.personal_spans(spark, shared.documents(spark, sf_dir))
     kinds = personal_data.KINDS[: personal_data.BASE]
@@ -59,7 +67,18 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_substring_dedup": op2_substring_dedup, "op3_secret_scans": op3_secret_scans, "op4_lm_scoring": op4_lm_scoring, "op5_best_fit_packing": op5_best_fit_packing, "op6_sharding": op6_sharding, "op7_quality_rules": op7_quality_rules, "op9_pii": op9_pii, "op10_minhash_near_dedup": op10_minhash_near_dedup}
+    return {
+        "op1_benchmark_decontamination": op1_benchmark_decontamination,
+        "op2_substring_dedup": op2_substring_dedup,
+        "op3_secret_scans": op3_secret_scans,
+        "op4_lm_scoring": op4_lm_scoring,
+        "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_sharding": op6_sharding,
+        "op7_quality_rules": op7_quality_rules,
+        "op8_quality_classifier": op8_quality_classifier,
+        "op9_pii": op9_pii,
+        "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,6 +18,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BREAK = np.zeros(256, bool)
 BREAK[[9, 10, 11, 12, 13, 32]] = True
+#: Where words end if punctuation doesn't belong to them: all ASCII but letters and digits.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 BASE = 0x9E3779B97F4A7C15 | 1
 TERMS = _rng.integers(1, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
 
@@ -56,14 +58,14 @@ class Words(NamedTuple):
     rows: np.ndarray  #: where each row's words begin, and their number
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """The words of rows of text; ``offsets`` begin at 0. ``lower``: A-Z count as a-z."""
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, breaks: np.ndarray = BREAK) -> Words:
+    """The words of rows of text; ``offsets`` begin at 0. ``lower``: A-Z count as a-z; ``breaks``: bytes that aren't in words."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(none.astype(np.uint64), none, none, np.zeros(len(offsets), np.int64))
     if lower:
         data = LOWER[data]
-    word = ~BREAK[data]
+    word = ~breaks[data]
     first = np.empty(len(data) + 1, bool)
     first[0], first[-1] = True, True
     first[1:-1] = ~word[:-1]
