@@ -1,4 +1,8 @@
 """All queries of the library and their SQL, by name."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from tesserine.plans import oracles, queries
+
+QUERIES = queries.QUERIES
+ORACLES = oracles.oracles()
