@@ -7,15 +7,23 @@ coordinate stays, and rounds 128 to 255 place every shingle in coordinate
 i - 128, so that all fill. Coordinates of two sets agree with a probability
 equal to their Jaccard similarity, with Chernoff-like concentration. 32 bands
 of 4 coordinates route sets to buckets (a pair at 0.8 shares none with a
-probability of 5e-8). One bit of each coordinate discards pairs that lie six
-standard deviations below the threshold; all others are verified on full sets.
+probability of 5e-8).
 
 Equal sets are one class from the start, so copies are never paired. Within a
-bucket, members first meet a centre; what that links is one component, and
-later rounds only look at buckets that still hold several. The last round
-tests every pair left between members of different components, so no link
-that could join two components is left out, and a bucket of m near copies costs
-about m tests, not m squared.
+bucket, every member meets one centre c, the member that shares most buckets
+with others, and is verified on full sets; what that links is one component.
+Further rounds do the same with the centre of what is still apart, where one bit
+of each coordinate first discards pairs six standard deviations below the
+threshold. Then every pair left that could be linked is found without pairing
+all: let f be in another component than c, and x any member. If f and x share no
+shingle outside c, their intersection lies in c, so it has at most min(|f & c|,
+|x & c|) shingles; with |x| >= |c| that makes J(f, x) <= J(f, c), which is too
+small. So a pair needs 180 min(|f & c|, |x & c|) >= 80 (|x| + |f|), or shares
+shingles outside c: k = ceil(80 (|f| + |x|) / 180) - |f & c| of them at least, so
+that one of f's shingles outside c but its k - 1 most common ones is x's too. That
+is an equi-join on rare shingles, by classes of |x|. What it finds is verified. No
+link that could join two components is left out, and a bucket of m near copies
+costs about m tests.
 
 Edge cases: a null, empty or blank text has an empty set, is linked with
 nothing and is kept. A text with fewer words than a shingle has one shingle,
@@ -26,11 +34,12 @@ kept. Columns other than doc_id and text are not looked at.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserine.llm import shared
@@ -136,18 +145,23 @@ def _sets(n: int, wanted):
 
 
 def _verified(similarity: int):
+    """Compares the sets of a centre and of another: their intersection, whether they are linked, and the other's shingles outside the centre."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
-                keep.append(100 * both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
+            sizes: list[list] = [[], [], [], []]
+            extra = []
+            for s, t in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
+                at = np.searchsorted(x, y)
+                at[at == len(x)] = 0
+                same = x[at] == y
+                both = int(same.sum())
+                for k, v in enumerate((len(x), len(y), both, 100 * both >= similarity * (len(x) + len(y) - both))):
+                    sizes[k].append(v)
+                extra.append(y[~same].view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(e) for e in extra])]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *extra])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(v, pa.int64()) for v in sizes[:3]], pa.array(sizes[3], pa.bool_()), lists], ["c", "id", "c_n", "n", "both", "linked", "extra"])
 
     return run
 
@@ -178,9 +192,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, simi
     classes = all_rows.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "k0", "k1").agg(F.min("doc_id").alias("id"))
     heads = all_rows.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     entries = heads.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band"))
-    busy = entries.groupBy("band").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y").select("band")
-    entries = shared.cut(spark, entries.join(busy, "band").select("band", "id"))
-    nodes = shared.cut(spark, heads.join(entries.select(F.col("id").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "b0", "b1"))
+    busy = entries.groupBy("band").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count("*").alias("size")).filter("x < y").select("band", "size")
+    entries = shared.cut(spark, entries.join(busy, "band").select("band", "id", "size"))
+    nodes = shared.cut(spark, heads.join(entries.groupBy(F.col("id").alias("doc_id")).agg(F.sum("size").alias("weight")), "doc_id").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "b0", "b1", "weight"))
     count = nodes.count()
     parts = None
     if count:
@@ -202,34 +216,73 @@ def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(mix(batch.column(0).to_numpy().view(np.uint64)).view(np.int64))], ["k"])
 
 
+def _compared(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (c, id) with what _verified() says of their full sets."""
+    full = pairs.join(sets.withColumnRenamed("set", "t"), "id").join(sets.select(F.col("id").alias("c"), F.col("set").alias("s")), "c").select("c", "id", "s", "t")
+    return full.mapInArrow(_verified(similarity), "c long, id long, c_n long, n long, both long, linked boolean, extra array<long>")
+
+
 def _components(spark: SparkSession, entries: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: int, rounds: int) -> DataFrame | None:
-    parts, tested = None, None
-    for turn in range(rounds + 1):
-        here = entries.withColumn("part", F.col("id")) if parts is None else entries.join(parts.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("part"))
-        if turn < rounds:  # each member meets the bucket's centre: the same in all buckets that hold it
-            centre = here.groupBy("band").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "part")).alias("c"), F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y")
-            pairs = here.join(centre.select("band", F.col("c.id").alias("c"), F.col("c.part").alias("c_part")), "band").filter("part <> c_part").select(F.col("c").alias("a"), F.col("id").alias("b"))
-        else:  # whoever is not in a bucket's largest component meets all of the other components
-            sizes = here.groupBy("band", "part").count()
-            first = sizes.groupBy("band").agg(F.max(F.struct("count", "part")).alias("most"), F.count("*").alias("k")).filter("k > 1").select("band", F.col("most.part").alias("most"))
-            minor = here.join(first, "band").filter("part <> most").select("band", F.col("id").alias("a"), F.col("part").alias("a_part"), "most")
-            pairs = minor.join(here, "band").filter("part <> a_part and (part = most or a < id)").select("a", F.col("id").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b").groupBy("x", "y").agg(F.min("a").alias("a"), F.min("b").alias("b")).select("x", "y")
-        if tested is not None:
-            pairs = pairs.join(tested, ["x", "y"], "left_anti")
-        pairs = shared.cut(spark, pairs)
-        if pairs.isEmpty():
-            if turn < rounds:
-                continue
-            break
-        tested = pairs if tested is None else tested.union(pairs)
-        one = nodes.select(F.col("id").alias("x"), F.col("n").alias("xn"), F.col("b0").alias("x0"), F.col("b1").alias("x1"))
-        two = nodes.select(F.col("id").alias("y"), F.col("n").alias("yn"), F.col("b0").alias("y0"), F.col("b1").alias("y1"))
-        likely = pairs.join(one, "x").join(two, "y").filter((100 * F.least("xn", "yn") >= similarity * F.greatest("xn", "yn")) & (F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))) + F.bit_count(F.col("x1").bitwiseXOR(F.col("y1"))) <= MOST_BITS)).select("x", "y")
-        full = likely.join(sets.select(F.col("id").alias("y"), F.col("set").alias("t")), "y").join(sets.select(F.col("id").alias("x"), F.col("set").alias("s")), "x").select("x", "y", "s", "t")
-        links = shared.cut(spark, full.mapInArrow(_verified(similarity), "a long, b long, linked boolean").filter("linked").select("a", "b"))
+    placed = entries.join(nodes.select("id", "weight"), "id").select("band", "id", "weight")
+    centres = placed.groupBy("band").agg(F.max(F.struct("weight", "id")).alias("c")).select("band", F.col("c.id").alias("c"))
+    first = entries.select("band", "id").join(centres, "band").filter("c <> id").select("c", "id").distinct()
+    stars = shared.cut(spark, _compared(first, sets, similarity))
+    parts = _joined(spark, stars.filter("linked").select(F.col("c").alias("a"), F.col("id").alias("b")), None)
+    # whoever still stands apart gets a centre of its own kind, if the sketches allow a link
+    for _ in range(rounds):
+        here = _with_part(placed, parts).select("band", "id", "part", "weight")
+        apart = here.groupBy("band").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("band")
+        here = here.join(apart, "band")
+        main = here.groupBy("band").agg(F.max(F.struct("weight", "part")).alias("m")).select("band", F.col("m.part").alias("main"))
+        others = here.join(main, "band")
+        centre = others.filter("part <> main").groupBy("band").agg(F.max(F.struct("weight", "id", "part")).alias("c")).select("band", F.col("c.id").alias("c"), F.col("c.part").alias("c_part"))
+        pairs = others.filter("part <> main").join(centre, "band").filter("part <> c_part").select("c", "id").distinct()
+        links = shared.cut(spark, _compared(_likely(pairs, nodes, similarity), sets, similarity).filter("linked").select(F.col("c").alias("a"), F.col("id").alias("b")))
         if links.isEmpty():
-            continue
-        parts = connected(spark, links if parts is None else links.union(parts.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))))
-        parts = shared.cut(spark, parts)
-    return parts
+            break
+        parts = _joined(spark, links, parts)
+    # all pairs left that can be linked: see above
+    known = _with_part(stars.select("c", "id", "c_n", "n", "both", "extra"), parts)
+    known = known.join(_with_part(nodes.select("id"), parts).select(F.col("id").alias("c"), F.col("part").alias("c_part")), "c")
+    fringe = shared.cut(spark, known.filter("part <> c_part").select("c", "id", "part", "n", "both", "extra"))
+    if fringe.isEmpty():
+        return parts
+    known = known.join(fringe.select("c").distinct(), "c", "left_semi").select("c", "id", "part", "n", "c_n", "both", "extra")
+    known = known.withColumn("class", F.floor(F.log("n") / math.log(1.05)).cast("int"))
+    x = known.select("c", "id", "part", "class", F.explode("extra").alias("shingle"))
+    common = x.groupBy("c", "shingle").agg(F.count("*").alias("times"))
+    rare = fringe.select("c", F.col("id").alias("f"), F.col("part").alias("f_part"), F.explode("extra").alias("shingle")).join(common, ["c", "shingle"])
+    rare = rare.withColumn("k", F.row_number().over(Window.partitionBy("c", "f").orderBy("times", "shingle"))).filter("times > 1")
+    classes = known.groupBy("c", "class").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    needed = fringe.select("c", F.col("id").alias("f"), F.col("n").alias("f_n"), F.col("both").alias("f_both"), F.size("extra").alias("m")).join(classes, "c").filter(f"100 * high >= {similarity} * f_n and 100 * f_n >= {similarity} * low")
+    needed = needed.withColumn("need", F.expr(f"ceil({similarity} * (f_n + low) / {100 + similarity}.0D) - f_both")).select("c", "f", "class", F.expr("if(need <= 0, m, m - need + 1)").alias("first"))
+    sharing = rare.join(needed, ["c", "f"]).filter("k <= first").join(x, ["c", "class", "shingle"]).filter("part <> f_part").select("f", "id").distinct()
+    small = known.filter(f"n < c_n and {100 + similarity} * both >= {similarity} * n").select("c", "id", "part", "n", "both")
+    small = fringe.select("c", F.col("id").alias("f"), F.col("part").alias("f_part"), F.col("n").alias("f_n"), F.col("both").alias("f_both")).join(small, "c").filter(f"part <> f_part and {100 + similarity} * least(both, f_both) >= {similarity} * (n + f_n)").select("f", "id")
+    pairs = sharing.union(small).select(F.least("f", "id").alias("c"), F.greatest("f", "id").alias("id")).distinct()
+    links = shared.cut(spark, _compared(_likely(pairs, nodes, similarity), sets, similarity).filter("linked").select(F.col("c").alias("a"), F.col("id").alias("b")))
+    return parts if links.isEmpty() else _joined(spark, links, parts)
+
+
+def _with_part(rows: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """``rows`` with the component of their id."""
+    if parts is None:
+        return rows.withColumn("part", F.col("id"))
+    return rows.join(parts.select(F.col("node").alias("id"), F.col("component").alias("part")), "id", "left").withColumn("part", F.coalesce("part", "id"))
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
+    """Pairs that sizes and sketches allow to be linked."""
+    one = nodes.select(F.col("id").alias("c"), F.col("n").alias("xn"), F.col("b0").alias("x0"), F.col("b1").alias("x1"))
+    two = nodes.select("id", F.col("n").alias("yn"), F.col("b0").alias("y0"), F.col("b1").alias("y1"))
+    bits = F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))) + F.bit_count(F.col("x1").bitwiseXOR(F.col("y1")))
+    return pairs.join(one, "c").join(two, "id").filter((100 * F.least("xn", "yn") >= similarity * F.greatest("xn", "yn")) & (bits <= MOST_BITS)).select("c", "id")
+
+
+def _joined(spark: SparkSession, links: DataFrame, parts: DataFrame | None) -> DataFrame | None:
+    """Components of the links so far."""
+    if parts is not None:
+        links = links.union(parts.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+    elif links.isEmpty():
+        return None
+    return shared.cut(spark, connected(spark, links))
