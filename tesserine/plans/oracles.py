@@ -192,6 +192,10 @@ def oracles() -> dict[str, str]:
         "data_validation": w + f"{EMB} select unnest(['ids_unique', 'ids_dense', 'dimension', 'zero_rate', 'table_totals', 'id_sets_equal']) as name, unnest([count(*) = count(distinct image_id), max(image_id) - min(image_id) + 1 = count(*), bool_and(len(e) = {DIM}), count(*) filter (list_max(e) = 0 and list_min(e) = 0) <= 0.05 * count(*), true, true]) as passed from emb",
         "config_roundtrip": f"select * from (values {config}) t(name, value)",
         "postings_roundtrip": w + f"{EMB}, {BATCH}, {REASONS} select t::int as table_id, (select count(*) from emb) + (select count(*) from good) as n, (select count(*) from emb) + (select count(*) from good) as n_images from (select unnest(range(0, {T})) as t)",
+        "sample_rows": "select vec_id as image_id from embeddings order by md5('42:' || vec_id), vec_id limit 50",
+        "benchmark_queries": "select vec_id as image_id from embeddings order by md5('42:' || vec_id), vec_id limit 200",
+        "test_store": w + f"{EMB} select doc_id as image_id, round(coalesce({NORM.format('e')}, 0.0), 6) as norm from documents left join emb on image_id = doc_id",
+        "engine_batch": w + posted() + f", {MATCH}, cand as (select distinct query_id, image_id from match where query_id % 50 = 0), {search} " + top(10),
         "stream_insert": w + posted() + " select * from keys",
         "stream_search": w + posted() + f", {CAND}, {search}, t as ({top(10)}) select * from t where query_id % 50 = 0",
         "stream_latency": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as start, count(*) as n, round(avg(value), 6) as mean_ms from events group by 1",

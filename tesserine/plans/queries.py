@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserine import engine
 from tesserine.config import LOCAL, LSHConfig
 from tesserine.functions import hashes, vectors
 from tesserine.operators import balance, cache, codec, evaluate, extract, lsh, ranking, ring, updates
@@ -551,6 +552,33 @@ def postings_roundtrip(spark, d):
     return shots.read().groupBy("table_id").agg(F.count("*").alias("n"), F.countDistinct("image_id").alias("n_images"))
 
 
+@query
+def sample_rows(spark, d):
+    """A sample is the feature here: 50 ids in the order of a hash."""
+    return engine.sample(tables.embeddings(spark, d), 50).select("image_id")
+
+
+@query
+def benchmark_queries(spark, d):
+    """None of the truth's ids is in the corpus, so a sample of the corpus serves."""
+    e = tables.embeddings(spark, d)
+    return engine.benchmark_queries(e, tables.truth(e)).select("image_id")
+
+
+@query
+def test_store(spark, d):
+    """Vectors of the documents' ids, zeros where there is no image."""
+    ids = tables.table(spark, d, "documents").select(F.col("doc_id").alias("image_id"))
+    return engine.with_defaults(ids, tables.embeddings(spark, d), DIM).select("image_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"))
+
+
+@query
+def engine_batch(spark, d):
+    """The engine object over the stated query set, its own id among the results."""
+    e = tables.embeddings(spark, d)
+    return engine.Engine(spark, e, LOCAL).batch_search(e.filter("image_id % 50 = 0"))
+
+
 # --- without an exact SQL twin: streams, ordered state, components whose sign is free, images
 
 
