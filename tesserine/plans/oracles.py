@@ -147,7 +147,7 @@ def oracles() -> dict[str, str]:
         "hist_intersection": w + x_hash + f" select a_id, b_id, round({intersection('a.hist', 'b.hist')}, 6) as intersection from pairs",
         "fused_similarity": w + f"{VARIANTS}, {features('variants')}, p as (select query_id, relevant_id as image_id from truth union all select distinct query_id, query_id + 6 from truth), {fused('p')} select * from fused",
         "fused_topk": w + f"{VARIANTS}, {proj(T, H)}, {keys('variants')}, {features('variants')}, {CAND}, own as (select * from cand where (query_id - 2000000) % 6 = 0), {fused('own')}, scored as (select query_id, image_id, score from fused) " + top(5),
-        "approx_cache_probe": w + f"{VARIANTS}, {features('variants')}, both as (select q.image_id as query_id, c.image_id as entry_id, bit_count(xor(q.phash, c.phash))::int as distance from features q, features c where (q.image_id - 2000000) % 6 > 0 and (c.image_id - 2000000) % 6 = 0) select query_id, entry_id, distance from (select *, row_number() over (partition by query_id order by distance, entry_id desc) as k from both where distance <= 8) where k = 1",
+        "approx_cache_probe": w + f"{VARIANTS}, {features('variants')}, met as (select q.image_id as query_id, c.image_id as entry_id, bit_count(xor(q.phash, c.phash))::int as distance from features q, features c where (q.image_id - 2000000) % 6 > 0 and (c.image_id - 2000000) % 6 = 0) select query_id, entry_id, distance from (select *, row_number() over (partition by query_id order by distance, entry_id desc) as k from met where distance <= 8) where k = 1",
         "ring_positions": w + ring(NODES) + " select position, node from ring",
         "ring_assign": w + f"{EMB}, {ring(NODES)}, {assign()} select * from assigned",
         "ring_load": w + f"{EMB}, {ring(NODES)}, {assign()} select r.node, count(a.key) as n from (select distinct node from ring) r left join assigned a using (node) group by all",
@@ -163,7 +163,7 @@ def oracles() -> dict[str, str]:
         "split_postings": w + posted() + f", {SPLIT} select * from split",
         "split_stats": w + posted() + f", {SPLIT}, parted as (select table_id, store_key, count(*) as size from split group by all) select table_id, {METRICS} from parted group by table_id",
         "split_lookup_equiv": w + posted() + f", {MATCH} select table_id, count(*) as n_plain, count(*) as n_split, true as equal from match group by table_id",
-        "bucket_cohesion": w + posted() + f", pair as (select a.image_id as i, b.image_id as j, {cosine('a.e', 'b.e')} as c from emb a join emb b on a.image_id < b.image_id), both as (select ka.table_id, c, ka.bucket_key = kb.bucket_key as same from pair join keys ka on ka.image_id = i join keys kb on kb.image_id = j and kb.table_id = ka.table_id) select table_id, round(avg(c) filter (same), 6) as same_bucket, round(avg(c) filter (not same), 6) as other_bucket from both group by table_id",
+        "bucket_cohesion": w + posted() + f", pair as (select a.image_id as i, b.image_id as j, {cosine('a.e', 'b.e')} as c from emb a join emb b on a.image_id < b.image_id), joined as (select ka.table_id, c, ka.bucket_key = kb.bucket_key as same from pair join keys ka on ka.image_id = i join keys kb on kb.image_id = j and kb.table_id = ka.table_id) select table_id, round(avg(c) filter (same), 6) as same_bucket, round(avg(c) filter (not same), 6) as other_bucket from joined group by table_id",
         "variants": w + f"{VARIANTS} select image_id, base_id, variant::int as variant, round(e[1], 6) as first, round(e[64], 6) as last, round({NORM.format('e')}, 6) as norm from variants",
         "ground_truth": w + f"{VARIANTS} select * from truth",
         "ground_truth_json": w + f"{VARIANTS} select * from truth",
