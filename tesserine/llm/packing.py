@@ -38,8 +38,8 @@ from tesserine.llm import shared
 from tesserine.llm.words import words
 
 SIZE, END_ID = 4096, 1
-#: Words that a Python worker remembers, and bytes of text it handles at once.
-MOST_WORDS, STEP = 1_000_000, 2 << 20
+#: Words that a task remembers at most.
+MOST_WORDS = 500_000
 #: Rows that a group has when ranks are made, on average at most.
 RANKED = 100_000
 
@@ -122,7 +122,7 @@ class WordIds:
         return ids, ends[w.rows + np.arange(rows + 1)]
 
 
-_loaded: dict[str, WordIds] = {}
+_loaded: dict[str, WordIds] = {}  # the tokenizer stays with a worker; its words go with the task
 
 
 def _pieces(path: str, size: int, with_ids: bool):
@@ -132,7 +132,7 @@ def _pieces(path: str, size: int, with_ids: bool):
         tokenizer = _loaded[path]
         for batch in batches:
             data, offsets = shared.text_buffers(batch.column(1))
-            for low, high in shared.steps(offsets, STEP):
+            for low, high in shared.steps(offsets):
                 at = offsets[low : high + 1]
                 ids, starts = tokenizer.batch(data[at[0] : at[-1]], at - at[0])
                 n = np.diff(starts)
@@ -146,6 +146,7 @@ def _pieces(path: str, size: int, with_ids: bool):
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
+        tokenizer._clear()
 
     return run
 
