@@ -3,20 +3,23 @@
 A window is ``length`` consecutive words. A word goes if a window that covers it
 also stands in a document with a smaller doc_id.
 
-1. Every window has an anchor, the smallest hash among its 8-word runs; equal
+1. Every window has an anchor, the smallest hash among its 25-word runs; equal
    windows have equal anchors. Anchors that stand in one document only can't
    belong to a repeat; a bitmap of bounded size holds the others.
-2. Windows with such anchors are grouped by their hash, partially before the
+2. Consecutive windows with one anchor are a passage. Equal passages are one
+   class: those in documents after the class's first go whole, and only what
+   stands in its first document is looked at further. However often a passage is
+   copied, one of it is left.
+3. Windows of these passages are grouped by their hash, partially before the
    shuffle. The first document of a window that several hold is its reference.
-3. References, as maximal runs of windows with one anchor, are dealt into
-   shards of a bounded number of words by anchor; a generalised suffix
-   automaton over words is made of each shard, which knows for every state the
-   smallest document. All passages with a shared anchor are streamed through
-   their shard's automaton: their matching statistics, restricted to smaller
-   documents, give the maximal spans of ``length`` words and more. The automaton
-   compares words, so hashes only route. A shard with much to stream is salted:
-   its automaton stands on several tasks.
-4. The spans of a document are united and its other words kept.
+4. References, as maximal runs, are dealt into shards of a bounded number of
+   windows by anchor; a generalised suffix automaton over words is made of each
+   shard, which knows for every state the smallest document. The passages left
+   are streamed through their shard's automaton: their matching statistics,
+   restricted to smaller documents, give the maximal spans of ``length`` words
+   and more. The automaton compares words, so window hashes only route. A shard
+   with much to stream is salted: its automaton stands on several tasks.
+5. The spans of a document are united and its other words kept.
 
 Edge cases: a null or blank text has no words. A row whose doc_id is null
 neither removes nor loses words. Rows that share a doc_id count as one document
@@ -34,11 +37,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.llm import shared
-from tesserine.llm.words import U, Words, inside, minimizers, row_of, runs, words
+from tesserine.llm.words import U, Words, inside, minimizers, mix, row_of, runs, words
 
-ANCHOR_WORDS = 8
+ANCHOR_WORDS = 25
 #: Reference windows in a shard, and windows that a task streams through one automaton, on average.
-SHARD_WINDOWS, STREAM_WINDOWS = 8_000, 200_000
+SHARD_WINDOWS, STREAM_WINDOWS = 4_000, 200_000
 
 
 class Automaton:
@@ -108,12 +111,13 @@ class Automaton:
 
 
 def _windows(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, the first word of each window, its row, and the word where its anchor begins; then the anchors' hashes."""
+    """Words, the first word of each window, the word where its anchor begins, and the anchors' hashes."""
+    n = min(ANCHOR_WORDS, length)
     w = words(data, offsets)
     at = inside(w.rows, length)
-    keys = runs(w.hashes, ANCHOR_WORDS)
-    anchor = minimizers(keys, length - ANCHOR_WORDS + 1)[at] if len(at) else at
-    return w, at, anchor, keys[anchor] if len(at) else keys[:0]
+    keys = runs(w.hashes, n)
+    anchor = minimizers(keys, length - n + 1)[at] if len(at) else at
+    return w, at, anchor, mix(keys[anchor]) if len(at) else keys[:0]  # smallest hashes begin with zeros: mixed again
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -142,51 +146,68 @@ def _anchors(length: int):
     return run
 
 
-def _shared_windows(length: int, anchors):
-    def run(batches):
-        for ids, data, offsets in _pieces(batches):
-            w, at, _, keys = _windows(data, offsets, length)
-            take = shared.passes(anchors.value, keys)
-            if take.any():
-                at, keys = at[take], keys[take]
-                row = row_of(w.rows)[at]
-                yield pa.RecordBatch.from_arrays([pa.array(runs(w.hashes, length)[at].view(np.int64)), pa.array((keys & U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), pa.array(ids[row]), pa.array((at - w.rows[row]).astype(np.int32))], ["w", "a", "doc_id", "at"])
-
-    return run
-
-
 def _passages(length: int, anchors, only=None):
-    """Runs of windows with one anchor, as text; ``only``: of the documents in that bitmap."""
-    from tesserine.llm.words import mix
+    """Runs of windows with one shared anchor: two hashes, the anchor's, the document, first word and windows; with ``only``, of the places in that bitmap, with the text instead."""
 
     def run(batches):
         for ids, data, offsets in _pieces(batches):
-            if only is not None:
-                wanted = shared.passes(only.value, mix(ids.view(np.uint64)))
-                if not wanted.any():
-                    continue
             w, at, anchor, keys = _windows(data, offsets, length)
-            row = row_of(w.rows)[at]
             take = shared.passes(anchors.value, keys)
-            if only is not None:
-                take &= wanted[row]
             if not take.any():
                 continue
-            at, anchor, keys, row = at[take], anchor[take], keys[take], row[take]
+            at, anchor, keys = at[take], anchor[take], keys[take]
+            row = row_of(w.rows)[at]
             new = np.ones(len(at), bool)
             new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(at)) - 1
+            doc, place = ids[row[first]], at[first] - w.rows[row[first]]
+            if only is None:
+                whole = runs(w.hashes, length)
+                n = last - first + 1  # the first and the last window overlap: together they are the passage
+                yield pa.RecordBatch.from_arrays([pa.array(whole[at[first]].view(np.int64)), pa.array(mix(whole[at[last]] + n.astype(np.uint64)).view(np.int64)), pa.array(doc), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "g", "doc_id", "at", "n"])
+                continue
+            wanted = shared.passes(only.value, _place(doc, place))
+            first, last, doc, place = first[wanted], last[wanted], doc[wanted], place[wanted]
             begin, end = w.starts[at[first]], w.ends[at[last] + length - 1]
             raw = data.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [pa.array((keys[first] & U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), pa.array(ids[row[first]]), pa.array((at[first] - w.rows[row[first]]).astype(np.int32)), pa.array([raw[x:y] for x, y in zip(begin.tolist(), end.tolist())], pa.binary())],
-                ["a", "doc_id", "at", "text"],
+                [pa.array((keys[first] & U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), pa.array(doc), pa.array(place.astype(np.int32)), pa.array([raw[x:y] for x, y in zip(begin.tolist(), end.tolist())], pa.binary())], ["a", "doc_id", "at", "text"]
             )
 
     return run
 
 
+def _place(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return mix(mix(doc.astype(np.int64).view(np.uint64)) + at.astype(np.uint64))
+
+
+def _places(batches):
+    for batch in batches:
+        keys = _place(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["k"])
+
+
+def _passage_windows(length: int):
+    """All windows of passages (a, doc_id, at, text, copied)."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column(3).cast(pa.large_binary())
+            offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+            data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+            a, doc, place, copied = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 4))
+            for low, high in shared.steps(offsets):
+                w = words(data[offsets[low] - offsets[0] : offsets[high] - offsets[0]], offsets[low : high + 1] - offsets[low])
+                at = inside(w.rows, length)
+                row = row_of(w.rows)[at]
+                yield pa.RecordBatch.from_arrays([pa.array(runs(w.hashes, length)[at].view(np.int64)), pa.array(a[low + row]), pa.array(doc[low + row]), pa.array((place[low + row] + at - w.rows[row]).astype(np.int32)), pa.array(copied[low + row])], ["w", "a", "doc_id", "at", "copied"])
+
+    return run
+
+
 def _references(length: int):
     """Of a passage and the windows in it that are references, the maximal runs of those."""
 
@@ -232,28 +253,26 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = 50) -> Da
     texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     anchors = shared.cut(spark, texts.mapInArrow(_anchors(length), "a long, doc_id long").groupBy("a").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("a"))
     passing = spark.sparkContext.broadcast(shared.bitmap(anchors, "a", anchors.count()))
-    firsts = texts.mapInArrow(_shared_windows(length, passing), "w long, a int, doc_id long, at int").groupBy("w", "a").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("first.doc_id < last")
+    passages = shared.cut(spark, texts.mapInArrow(_passages(length, passing), "h long, g long, doc_id long, at int, n int"))
+    classes = passages.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    placed = shared.cut(spark, passages.join(classes, ["h", "g"]).select("doc_id", "at", "n", (F.col("doc_id") == F.col("first")).alias("own"), (F.col("last") > F.col("first")).alias("copied")))
+    copies = placed.filter("not own").select("doc_id", F.col("at").alias("start"), F.expr(f"at + n + {length - 1}").alias("end"))
+    own = placed.filter("own").select("doc_id", "at", "copied")
+    places = own.select("doc_id", "at").mapInArrow(_places, "k long")
+    only = spark.sparkContext.broadcast(shared.bitmap(places, "k", own.count()))
+    kinds = "a int, doc_id long, at int, text binary"
+    left = shared.cut(spark, texts.mapInArrow(_passages(length, passing, only), kinds).join(own.distinct(), ["doc_id", "at"]).select("a", "doc_id", "at", "text", "copied"))
+    firsts = left.mapInArrow(_passage_windows(length), "w long, a int, doc_id long, at int, copied boolean").withColumn("place", F.struct("doc_id", "at"))
+    firsts = firsts.groupBy("w", "a").agg(F.min("place").alias("first"), F.max("doc_id").alias("last"), F.max("copied").alias("copied"), F.count("*").alias("n")).filter("copied or first.doc_id < last")
     firsts = shared.cut(spark, firsts.select("a", "first.doc_id", "first.at", "n"))
-    references, ids = firsts.count(), shared.cut(spark, firsts.select(F.col("doc_id").alias("k")).distinct())
-    shards = max(1, -(-references // SHARD_WINDOWS))
+    shards = max(1, -(-firsts.count() // SHARD_WINDOWS))
     salts = shared.cut(spark, firsts.groupBy(F.expr(f"pmod(hash(a), {shards})").alias("shard")).agg(F.expr(f"cast(ceil(sum(n) / {STREAM_WINDOWS}) as int)").alias("salts")))
-    only = spark.sparkContext.broadcast(shared.bitmap(ids.mapInArrow(_mixed, "k long"), "k", ids.count()))
-    kinds = "a int, doc_id long, at int, text binary"
-    held = texts.mapInArrow(_passages(length, passing, only), kinds).join(firsts.groupBy("doc_id", "a").agg(F.collect_list("at").alias("firsts")), ["doc_id", "a"])
-    held = held.select("a", "doc_id", "at", "text", "firsts").mapInArrow(_references(length), kinds)
+    held = left.join(firsts.groupBy("doc_id", "a").agg(F.collect_list("at").alias("firsts")), ["doc_id", "a"]).select("a", "doc_id", "at", "text", "firsts").mapInArrow(_references(length), kinds)
     shard = F.expr(f"pmod(hash(a), {shards})").alias("shard")
     held = held.select("*", shard).join(salts, "shard").select("shard", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(False).alias("stream"), "doc_id", "at", "text")
-    streamed = texts.mapInArrow(_passages(length, passing), kinds).select("*", shard).join(salts, "shard").select("shard", F.expr("cast(pmod(xxhash64(doc_id), salts) as int)").alias("salt"), F.lit(True).alias("stream"), "doc_id", "at", "text")
-    tasks = max(shared.partitions(spark), 1)
-    together = held.union(streamed).repartition(tasks, "shard", "salt").sortWithinPartitions("shard", "salt", "stream", "doc_id")
-    return together.mapInArrow(_matched(length), "doc_id long, start int, end int")
-
-
-def _mixed(batches):
-    from tesserine.llm.words import mix
-
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(mix(batch.column(0).to_numpy().view(np.uint64)).view(np.int64))], ["k"])
+    streamed = left.select("*", shard).join(salts, "shard").select("shard", F.expr("cast(pmod(xxhash64(doc_id), salts) as int)").alias("salt"), F.lit(True).alias("stream"), "doc_id", "at", "text")
+    together = held.union(streamed).repartition(shared.partitions(spark), "shard", "salt").sortWithinPartitions("shard", "salt", "stream", "doc_id")
+    return copies.union(together.mapInArrow(_matched(length), "doc_id long, start int, end int"))
 
 
 def _kept(batches):
