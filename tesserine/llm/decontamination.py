@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters and digits, A-Z as a-z. Seeds are the 4-word grams of
-the test items (an item with fewer words is one seed). Their document
-frequencies are counted over the corpus, and an item's rare seeds are those in no
-more than 4 times the documents of its median seed plus 50: common phrases go, a
-widely leaked item keeps its seeds. Rare seeds join passages to items; hits of an
+the test items (an item with fewer words is one seed). Every seed joins passages to
+items, however frequent it is: a copy in thousands of documents leaves only frequent
+seeds. A passage that a common phrase brings is left out when a bound on its score,
+from the words that the two have in common, is below the threshold; hits of an
 item that lie near each other are one passage, which Smith-Waterman aligns with
 the item (match 2, mismatch -1, gap -1). The score is the share of the best
 possible one, so copies with words changed, left out or put in are found; from
@@ -49,8 +49,8 @@ class Items(NamedTuple):
     table: np.ndarray  #: which low bits of a hash some seed has
 
 
-def prepare(items: list[tuple], keep: set[int] | None = None) -> Items:
-    """Items (id, text) with their seeds; ``keep``: the seeds to use."""
+def prepare(items: list[tuple]) -> Items:
+    """Items (id, text) with their seeds."""
     texts = pa.array([t for _, t in items], pa.string())
     data, offsets = shared.text_buffers(texts)
     w = words(data, offsets, lower=True, breaks=PUNCTUATION)
@@ -59,9 +59,6 @@ def prepare(items: list[tuple], keep: set[int] | None = None) -> Items:
     n = np.diff(w.rows)
     short = np.flatnonzero((n > 0) & (n < SEED_WORDS))
     keys, row, at = np.concatenate([keys, _whole(w.hashes, w.rows, short)]), np.concatenate([row, short]), np.concatenate([at - w.rows[row], np.zeros(len(short), np.int64)])
-    if keep is not None:
-        used = np.array([int(k) in keep for k in keys], bool)
-        keys, row, at = keys[used], row[used], at[used]
     order = np.lexsort((at, row, keys))
     keys, row, at = keys[order], row[order], at[order]
     seeds, begin = np.unique(keys, return_index=True)
@@ -136,25 +133,32 @@ def _steps(batches: Iterator[pa.RecordBatch]):
             yield batch.column(0).slice(low, high - low).to_pylist(), words(data[at[0] : at[-1]], at - at[0], lower=True, breaks=PUNCTUATION)
 
 
-def _frequencies(sent):
-    def run(batches):
-        items: Items = sent.value
-        shortest = any(0 < len(w) < SEED_WORDS for w in items.words)
-        count = np.zeros(len(items.seeds), np.int64)
-        for _, w in _steps(batches):
-            at, seed = _hits(items, w.hashes, w.rows, shortest)
-            pairs = np.unique(row_of(w.rows)[at] * len(items.seeds) + seed)
-            np.add.at(count, pairs % max(1, len(items.seeds)), 1)
-        some = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(items.seeds[some].view(np.int64)), pa.array(count[some])], ["k", "n"])
+def _bound(item: np.ndarray, passage: np.ndarray) -> int:
+    """What no alignment of the two scores above: on either side, a word that the other lacks costs 1 and any other gives MATCH."""
+    own = np.sort(item)
+    at = np.searchsorted(own, passage)
+    at[at == len(own)] = 0
+    most = MATCH * len(item)
+    for has in (own[at] == passage, np.isin(item, passage)):
+        total = np.concatenate([[0], np.cumsum(np.where(has, MATCH, -1))])
+        most = min(most, int((total - np.minimum.accumulate(total)).max()))
+    return most
 
-    return run
+
+def _tiles(low: int, high: int, size: int, threshold: float) -> Iterator[tuple[int, int]]:
+    """A long passage in pieces; every stretch that an alignment from ``threshold`` on can span lies within one."""
+    span = int(np.ceil(size * (3 - MATCH * max(0.0, threshold))))
+    while high - low > 8 * span:
+        yield low, low + 4 * span
+        low += 3 * span
+    yield low, high
 
 
 def _aligned(sent, threshold: float):
     def run(batches):
         items: Items = sent.value
         shortest = any(0 < len(w) < SEED_WORDS for w in items.words)
+        sizes = np.array([len(x) for x in items.words], np.int64)
         for ids, w in _steps(batches):
             at, seed = _hits(items, w.hashes, w.rows, shortest)
             many = items.begin[seed + 1] - items.begin[seed]
@@ -162,20 +166,24 @@ def _aligned(sent, threshold: float):
             item, inner, at = items.item[place], items.at[place], np.repeat(at, many)
             row = row_of(w.rows)[at] if len(at) else at
             order = np.lexsort((at - inner, item, row))
+            row, item, begins = row[order], item[order], (at - inner)[order]
+            # hits of one item in one text whose diagonals lie near each other
+            size = sizes[item]
+            far = (np.diff(row) != 0) | (np.diff(item) != 0) | (np.diff(begins) > size[1:])
+            first = np.flatnonzero(np.concatenate([[len(row) > 0], far]))
+            last = np.append(first[1:], len(row))[: len(first)] - 1
+            lows = np.maximum(w.rows[row[first]], begins[first] - size[first] // 2)
+            highs = np.minimum(w.rows[row[first] + 1], begins[last] + size[first] + size[first] // 2 + 1)
             out: dict[tuple[int, int], tuple] = {}
-            k = 0
-            while k < len(order):  # hits of one item in one text whose diagonals lie near each other
-                r, i = row[order[k]], item[order[k]]
-                size, last = len(items.words[i]), k
-                while last + 1 < len(order) and row[order[last + 1]] == r and item[order[last + 1]] == i and (at - inner)[order[last + 1]] - (at - inner)[order[last]] <= size:
-                    last += 1
-                low = max(w.rows[r], at[order[k]] - inner[order[k]] - size // 2)
-                high = min(w.rows[r + 1], at[order[last]] - inner[order[last]] + size + size // 2 + 1)
-                best, matches, start, end = align(items.words[i], w.hashes[low:high])
-                score = best / (MATCH * size)
-                if score >= threshold and score > out.get((int(r), int(i)), (0,))[0]:
-                    out[int(r), int(i)] = (score, matches, int(low + start - w.rows[r]), int(low + end - w.rows[r]))
-                k = last + 1
+            for r, i, begin, end in zip(row[first].tolist(), item[first].tolist(), lows.tolist(), highs.tolist()):
+                n = len(items.words[i])
+                for low, high in _tiles(begin, end, n, threshold):
+                    if _bound(items.words[i], w.hashes[low:high]) < threshold * MATCH * n:
+                        continue
+                    best, matches, start, stop = align(items.words[i], w.hashes[low:high])
+                    score = best / (MATCH * n)
+                    if score >= threshold and score > out.get((r, i), (0,))[0]:
+                        out[r, i] = (score, matches, int(low + start - w.rows[r]), int(low + stop - w.rows[r]))
             found = [(ids[r], items.ids[i], len(items.words[i]), *v) for (r, i), v in sorted(out.items())]
             columns = list(zip(*found)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "item_words", "score", "n_matches", "start_word", "end_word"])
@@ -183,17 +191,6 @@ def _aligned(sent, threshold: float):
     return run
 
 
-def rare(items: Items, frequency: dict[int, int]) -> set[int]:
-    """The seeds of each item that are not much more frequent than its median seed."""
-    count = np.array([frequency.get(int(s), 0) for s in items.seeds.view(np.int64)], np.int64)
-    seed = np.repeat(np.arange(len(items.seeds)), np.diff(items.begin))
-    order = np.argsort(items.item, kind="stable")
-    out: set[int] = set()
-    for part in np.split(seed[order], np.flatnonzero(np.diff(items.item[order])) + 1) if len(seed) else []:
-        out.update(int(x) for x in items.seeds[part[count[part] <= 4 * np.median(count[part]) + 50]])
-    return out
-
-
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, item_words, score, n_matches, start_word, end_word): the best alignment of each document and item from ``threshold`` on."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -204,9 +201,6 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, thr
     found = None
     for b in range(blocks):
         items = sorted(((r["item_id"], r["text"]) for r in tests.filter(F.expr(f"pmod(xxhash64(text), {blocks}) = {b}")).collect()), key=lambda x: (x[0] is None, x[0], x[1]))
-        all_seeds = prepare(items)
-        counted = rows.mapInArrow(_frequencies(spark.sparkContext.broadcast(all_seeds)), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-        chosen = prepare(items, rare(all_seeds, {r["k"]: r["n"] for r in counted}))
-        part = rows.mapInArrow(_aligned(spark.sparkContext.broadcast(chosen), threshold), schema)
+        part = rows.mapInArrow(_aligned(spark.sparkContext.broadcast(prepare(items)), threshold), schema)
         found = part if found is None else found.union(part)
     return found

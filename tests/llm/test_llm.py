@@ -419,6 +419,30 @@ def test_decontamination_finds_verbatim_and_edited(spark, docs, texts):
     assert not any(d == 20_000 for d, _ in got)
 
 
+def test_decontamination_finds_an_edited_copy_in_many_documents(spark):
+    words = [f"w{k}" for k in range(38)]
+    copy = " ".join("changed" if k % 7 == 6 else x for k, x in enumerate(words))  # 20 of 35 seeds hold a change
+    rows = [(d, f"a{d} b{d} {copy} c{d} d{d}") for d in range(80)]
+    benchmark = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = {r["doc_id"]: (r["score"], r["n_matches"]) for r in decontamination.contaminated(spark, of_texts(spark, rows), benchmark).collect()}
+    assert got == {d: ((2 * 33 - 5) / 76, 33) for d in range(80)}
+
+
+def test_long_passages_are_aligned_in_pieces():
+    """Equal to one alignment of the whole, and the bound is never below it."""
+    rng = np.random.default_rng(12)
+    for _ in range(30):
+        item = rng.integers(0, 30, 8)
+        passage = rng.integers(0, 30, 600)
+        at = int(rng.integers(0, 580))
+        passage[at : at + 8] = item
+        passage[at + 3] = 99
+        tiles = list(decontamination._tiles(0, 600, 8, 0.5))
+        best = max(decontamination.align(item, passage[a:b])[0] for a, b in tiles)
+        assert len(tiles) > 1 and best == decontamination.align(item, passage)[0]
+        assert all(decontamination._bound(item, passage[a:b]) >= decontamination.align(item, passage[a:b])[0] for a, b in tiles)
+
+
 def test_alignment_equals_plain_smith_waterman():
     rng = np.random.default_rng(11)
     for _ in range(30):
