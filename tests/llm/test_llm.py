@@ -178,6 +178,24 @@ def test_decoded_layers():
     assert secrets.secrets("%41" * 5 + "%zz%")[1] == []
 
 
+def test_repeated_encoded_secrets():
+    """Each place of the same encoded secret has its span, at any depth; a layer that holds itself ends."""
+    s = 'password = "abcdefghijkl1234"'
+    b = lambda x: base64.b64encode(x.encode()).decode()
+    for e in (b(s), b(b(s)), b(f"one {b(s)} two {b(s)}"), urllib.parse.quote(f"{b(s)} ,")):
+        t = f"{e} and\n{e}, {e}"
+        base, spans = secrets.secrets(t)
+        starts = [m.start() for m in re.finditer(re.escape(e), t)]
+        assert not base and len(starts) == 3
+        assert all(any(k == 0 and at <= a < z <= at + len(e) for a, k, z in spans) for at in starts), e
+    assert [k for _, k, _ in secrets.secrets(f"{b(s)} {b('AKIA' + 'Z' * 16 + ' ' + b(s))}")[1]] == [0, 0, 1]
+
+
+def test_cycles_of_layers_end(monkeypatch):
+    monkeypatch.setattr(secrets, "_held", lambda data: ({data[0] % 3}, {bytes([(data[0] + 1) % 3])}))
+    assert secrets._kinds({b"\x00"}) == {bytes([k]): {0, 1, 2} for k in range(3)}
+
+
 # --- language model
 
 
