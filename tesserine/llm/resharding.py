@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserine.llm import shared
@@ -171,14 +171,35 @@ def resharded(spark: SparkSession, docs: DataFrame, old_shard: Column, olds: int
     return ranked.join(F.broadcast(parts), ["shard", "old_shard", "block"]).select("doc_id", "size", "text_crc32", "old_shard", "shard", F.expr("before + k").alias("slot"))
 
 
-def rewrite(spark: SparkSession, docs: DataFrame, placed: DataFrame, path: str, unchanged: set[int] | None = None) -> None:
-    """Writes the documents by new shard under ``path``; shards in ``unchanged`` keep their files."""
-    places = placed.select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), "shard").distinct()
+def rewrite(spark: SparkSession, docs: DataFrame, placed: DataFrame, path: str, unchanged: set[int] | None = None, old_shard: Column | None = None) -> None:
+    """Writes the documents by new shard under ``path``; shards in ``unchanged`` keep their files, all others there are replaced or removed.
+
+    Rows with the same id and text are told apart by ``old_shard``, as given to resharded(), and by a number.
+    """
     crc = F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    rows = docs.join(places, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (crc == F.col("__crc"))).drop("__id", "__crc")
-    if unchanged:
-        rows = rows.filter(~F.col("shard").isin(sorted(unchanged)))
-    rows.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__crc": crc, "__old": F.lit(0) if old_shard is None else F.coalesce(old_shard, F.lit(0)).cast("int")})
+    same = ["__id", "__crc", "__old"]
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    rows = rows.withColumn("__copy", F.row_number().over(Window.partitionBy(*same).orderBy(F.xxhash64(*plain)))).drop("shard")
+    places = placed.select(F.col("doc_id").alias("__i"), F.col("text_crc32").alias("__c"), (F.lit(0) if old_shard is None else F.col("old_shard")).alias("__o"), "shard")
+    places = places.withColumn("__k", F.row_number().over(Window.partitionBy("__i", "__c", "__o").orderBy("shard")))
+    rows = rows.join(places, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__crc") == F.col("__c")) & (F.col("__old") == F.col("__o")) & (F.col("__copy") == F.col("__k")))
+    rows = rows.drop(*same, "__copy", "__i", "__c", "__o", "__k")
+    if not unchanged:
+        rows.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+        return
+    stay = {str(r["shard"]) for r in placed.select("shard").distinct().collect()} | {str(j) for j in unchanged}
+    rows = rows.filter(~F.col("shard").isin(sorted(unchanged)))
+    rows.repartition("shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    if 0 in unchanged:  # holds the rows without a shard
+        stay.add("__HIVE_DEFAULT_PARTITION__")
+    # a shard that has no rows any more isn't overwritten
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in files.listStatus(folder):
+        name = found.getPath().getName()
+        if name.startswith("shard=") and name.removeprefix("shard=") not in stay:
+            files.delete(found.getPath(), True)
 
 
 def untouched(placed: DataFrame) -> DataFrame:

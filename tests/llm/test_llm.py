@@ -330,6 +330,24 @@ def test_flow_moves_the_fewest_bytes():
         assert sum(f for i, j, f in flows if i != j) == sum(supply) - sum(min(s, c) for s, c in zip(supply, capacity))
 
 
+def test_rewrite_keeps_unchanged_shards_and_repeated_rows(spark, tmp_path):
+    old = [(1, "a" * 50, 0), (1, "a" * 50, 0), (2, "b" * 40, 0), (3, "c" * 30, 1), (None, None, 2), (None, None, 2), (5, "e", 4)]
+    path = f"file://{tmp_path}/layout"
+    spark.createDataFrame(old, "doc_id long, text string, shard int").write.partitionBy("shard").parquet(path)
+    before = {f for f in os.listdir(tmp_path / "layout/shard=1") if f.endswith(".parquet")}
+    # shard 1 stays, 4 has no rows any more, copies of one row go to two shards
+    goes = [(1, 0, 0), (1, 0, 2), (2, 0, 0), (3, 1, 1), (None, 2, 0), (None, 2, 2), (5, 4, 2)]
+    text = {i: t for i, t, _ in old}
+    placed = spark.createDataFrame([(i, zlib.crc32((text[i] or "").encode()), o, j) for i, o, j in goes], "doc_id long, text_crc32 long, old_shard int, shard int")
+    from pyspark.sql import functions as F
+
+    resharding.rewrite(spark, spark.read.parquet(path), placed, path, {1}, F.col("shard"))
+    spark.catalog.refreshByPath(path)
+    got = sorted(((r["doc_id"], r["text"], r["shard"]) for r in spark.read.parquet(path).collect()), key=str)
+    assert got == sorted(((i, text[i], j) for i, _, j in goes), key=str)
+    assert {f for f in os.listdir(tmp_path / "layout/shard=1") if f.endswith(".parquet")} == before and not (tmp_path / "layout/shard=4").exists()
+
+
 def test_rewrite(spark, docs, tmp_path):
     placed = resharding.resharded(spark, docs, shared_old(), 4, 5)
     resharding.rewrite(spark, docs, placed, f"file://{tmp_path}/out")
