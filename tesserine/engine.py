@@ -38,11 +38,9 @@ class Engine:
         return lsh.postings(rows, c.num_tables, c.hash_size, c.embedding_dim, c.random_seed)
 
     def batch_search(self, queries: DataFrame, top_k: int | None = None) -> DataFrame:
-        """(query_id, rank, image_id, score) for queries (image_id, embedding), as one plan for any number."""
-        c = self.config
-        found = lsh.matches(self._postings(queries), self.posted)
-        found = found.filter("query_id <> image_id") if self.exclude_self else found
-        return ranking.top(ranking.scored(lsh.capped(found, c.max_candidates, c.num_tables), queries, self.rows), top_k or c.top_k)
+        """(query_id, rank, image_id, score) for queries (image_id, embedding), as one plan for any number; all candidates are scored."""
+        found = lsh.candidates(self._postings(queries), self.posted, self.exclude_self)
+        return ranking.top(ranking.scored(found, queries, self.rows), top_k or self.config.top_k)
 
     def search(self, embedding: Iterable[float] | None = None, image_id: int | None = None, top_k: int | None = None) -> list[tuple[int, float]]:
         """The best (id, score), best first, for a vector or for an image of the corpus."""

@@ -35,6 +35,14 @@ def test_search_and_cache(spark, built):
     assert e.search_stats().first()["n"] == len(e.log)
 
 
+def test_no_candidate_is_left_out(spark):
+    """One hot bucket of more rows than the cap of other searches, where the best have the largest ids."""
+    near = [[1.0 + 0.05 * (59 - i), 1.0] for i in range(60)]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(near)], "image_id long, embedding array<double>")
+    e = engine.Engine(spark, rows, LSHConfig(num_tables=2, hash_size=1, embedding_dim=2, top_k=3, max_candidates=10))
+    assert [i for i, _ in e.search(embedding=[1.0, 1.0])] == [59, 58, 57]
+
+
 def test_insert_is_seen_and_all_or_nothing(spark, built):
     e, v = built
     new = spark.createDataFrame([(100, v[9].tolist(), 0)], "image_id long, embedding array<double>, line long")
