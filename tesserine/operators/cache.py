@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import OrderedDict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -112,28 +113,30 @@ def probe(queries: DataFrame, entries: DataFrame, within: int = 8) -> DataFrame:
     return near.withColumn("k", F.row_number().over(best)).filter("k = 1").select("query_id", "entry_id", "distance")
 
 
-def replay_approximate(log: DataFrame, capacity: int, within: int, shards: int = 8) -> DataFrame:
-    """K3: (seq, shard, outcome) of caches that also accept near hashes and then hold the new one too.
+def replay_approximate(log: DataFrame, capacity: int, within: int) -> DataFrame:
+    """K3: (seq, outcome) of a cache that also accepts near hashes and then holds the new one too.
 
-    The outcome of an access depends on all before it in its cache, so caches are sharded by key and replayed in order, one task each.
+    The outcome of an access depends on all before it, so one task replays the log in the order of seq, a batch at a time;
+    what it holds are ``capacity`` hashes. Spark sorts on disk where the log doesn't fit.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        lru, out = LRU(capacity), []
-        for key in rows["phash"].tolist():
-            if lru.get(key) is not None:
-                out.append("exact")
-            elif (near := lru.nearest(key, within)) is not None:
-                lru.get(near[1])
-                lru.put(key, True)
-                out.append("approximate")
-            else:
-                lru.put(key, True)
-                out.append("miss")
-        return pd.DataFrame({"seq": rows["seq"], "shard": rows["shard"], "outcome": out})
-
-    return log.withColumn("shard", F.expr(f"cast(pmod(xxhash64(key), {shards}) as int)")).groupBy("shard").applyInPandas(run, "seq long, shard int, outcome string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lru = LRU(capacity)
+        for rows in batches:
+            out = []
+            for key in rows["phash"].tolist():
+                if lru.get(key) is not None:
+                    out.append("exact")
+                elif (near := lru.nearest(key, within)) is not None:
+                    lru.get(near[1])
+                    lru.put(key, True)
+                    out.append("approximate")
+                else:
+                    lru.put(key, True)
+                    out.append("miss")
+            yield pd.DataFrame({"seq": rows["seq"], "outcome": out})
+
+    return log.select("seq", "phash").repartition(1).sortWithinPartitions("seq").mapInPandas(run, "seq long, outcome string")
 
 
 def two_passes(log: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from tesserine.config import LSHConfig
 from tesserine.functions import hashes, vectors
 from tesserine.operators import balance, cache, codec, evaluate, extract, lsh, ranking, ring, updates
 from tesserine.sources import storage, tables
+from tesserine.streaming import live
 
 
 def frame(spark, rows):
@@ -132,6 +133,36 @@ def test_replay_equals_simulation(spark, chunk):
     assert [r["hit"] for r in cache.replay(spark, log, 8, chunk).orderBy("seq").collect()] == expected
 
 
+def test_approximate_replay_is_one_cache(spark):
+    """Images with near hashes hit each other whatever their ids, and all share the capacity."""
+    rng = np.random.default_rng(4)
+    centres = [int(x) for x in rng.integers(0, 2**62, 12)]
+    log = [(i, int(rng.integers(0, 1000)), centres[int(rng.integers(0, 12))] ^ int(rng.integers(0, 8))) for i in range(300)]
+    held, expected = [], []  # the newest last
+    for _, _, h in log:
+        near = min(((h ^ x).bit_count(), -k) for k, x in enumerate(held)) if held else (99, 0)
+        expected.append("exact" if near[0] == 0 else "approximate" if near[0] <= 8 else "miss")
+        if near[0] <= 8:
+            held.append(held.pop(-near[1]))
+        if near[0]:
+            held.append(h)
+        del held[:-20]
+    rows = spark.createDataFrame(log, "seq long, key long, phash long").repartition(5)
+    assert [r["outcome"] for r in cache.replay_approximate(rows, 20, 8).orderBy("seq").collect()] == expected and len(set(expected)) == 3
+
+
+def test_stream_cache_equals_replay(spark, tmp_path):
+    """One cache over the micro-batches."""
+    rng = np.random.default_rng(5)
+    log = [(i, int(k)) for i, k in enumerate(rng.zipf(1.4, 300) % 60)]
+    for part in (log[:170], log[170:]):
+        spark.createDataFrame(part, "seq long, key long").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    frame = spark.createDataFrame(log, "seq long, key long")
+    live.cached(live.read(spark, frame, f"file://{tmp_path}/in"), f"file://{tmp_path}/state", f"file://{tmp_path}/out", 8).awaitTermination()
+    got = [(r["seq"], r["hit"]) for r in spark.read.parquet(f"file://{tmp_path}/out").orderBy("seq").collect()]
+    assert got == [(r["seq"], r["hit"]) for r in cache.replay(spark, frame, 8, 1000).orderBy("seq").collect()]
+
+
 def test_probe_equals_all_pairs(spark):
     rng = np.random.default_rng(4)
     held = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 50)]
