@@ -1,9 +1,11 @@
 """Operators of the llm subpackage against brute force, exact round trips and held-out accuracy."""
 
 import base64
+import bz2
 import collections
 import gzip
 import hashlib
+import lzma
 import math
 import os
 import re
@@ -191,6 +193,19 @@ def test_repeated_encoded_secrets():
     assert [k for _, k, _ in secrets.secrets(f"{b(s)} {b('AKIA' + 'Z' * 16 + ' ' + b(s))}")[1]] == [0, 0, 1]
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_compressed_layers_are_read_to_their_end(pack):
+    """Secrets beyond 16 MB and across the ends of chunks, after characters of several bytes, plain or encoded again."""
+    s = 'password = "abcdefghijkl1234"'
+    for secret in (s, base64.b64encode(gzip.compress(s.encode())).decode(), urllib.parse.quote(s)):
+        for fill in ("é, " * 4_400_000, "x\n" * (secrets.CHUNK // 2 - 8)):
+            t = "see " + base64.b64encode(pack(f"{fill}{secret}\n{'é, ' * 700_000}".encode())).decode()
+            assert secrets.secrets(t)[1] == [(4, 0, len(t.rstrip("=")) + t.count("="))]
+    if pack is not zlib.compress:
+        t = base64.b64encode(pack(b"first member, ") + pack(s.encode())).decode()
+        assert [k for _, k, _ in secrets.secrets(t)[1]] == [0]
+
+
 def test_cycles_of_layers_end(monkeypatch):
     monkeypatch.setattr(secrets, "_held", lambda data: ({data[0] % 3}, {bytes([(data[0] + 1) % 3])}))
     assert secrets._kinds({b"\x00"}) == {bytes([k]): {0, 1, 2} for k in range(3)}
