@@ -24,7 +24,6 @@ columns are not looked at.
 from __future__ import annotations
 
 import bisect
-import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -35,104 +34,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.llm import shared
-from tesserine.llm.words import words
+from tesserine.llm.word_ids import WordIds
 
 SIZE, END_ID = 4096, 1
-#: Words that a task remembers at most.
-MOST_WORDS = 500_000
+#: Bytes of text that are tokenised at once.
+TOKENISED = 4 << 20
 #: Rows that a group has when ranks are made, on average at most.
 RANKED = 100_000
 
 
-def _byte_letters() -> dict[int, str]:
-    """Byte-level vocabularies write each byte as a letter: printable ones as themselves, the others from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
-
-
-class WordIds:
-    """Token ids of words, remembered by the words' hashes."""
-
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.letters = _byte_letters()
-        self._clear()
-
-    def _clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.ids, self.used = np.zeros(1 << 20, np.uint32), 1
-        self.ids[0] = END_ID
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.size[0] = 1  # entry 0 is the end
-        self.count = 1
-
-    def of(self, word: str) -> list[int]:
-        if word.isascii():
-            low = word.lower()
-            if low.isalpha():
-                return [x.id for x in self.model.tokenize(low)]
-            if low[:-1].isalpha() and low[-1] in ".,;:!?":
-                return [x.id for x in self.model.tokenize(low[:-1])] + [x.id for x in self.model.tokenize(low[-1])]
-        elif max(word) < "İ" and unicodedata.is_normalized("NFC", word):
-            low = word.lower()
-            tail = low[-1] if low[-1] in ".,;:!?" else ""
-            body = low[:-1] if tail else low
-            if body.isalpha():
-                out = [x.id for x in self.model.tokenize(body.encode().decode("latin-1").translate(self.letters))]
-                return out + [x.id for x in self.model.tokenize(tail)] if tail else out
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
-
-    def _add(self, key: int, ids: list[int]) -> int:
-        n = len(ids)
-        while self.used + n > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        if self.count == len(self.start):
-            self.start, self.size = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.size, np.zeros_like(self.size)])
-        self.ids[self.used : self.used + n] = ids
-        self.start[self.count], self.size[self.count] = self.used, n
-        self.used += n
-        self.place[key] = self.count
-        self.count += 1
-        return self.count - 1
-
-    def batch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of rows of text, each row's with the end id last, and where each row begins."""
-        if self.count > MOST_WORDS:
-            self._clear()
-        w = words(data, offsets)
-        uniq, first, back = np.unique(w.hashes, return_index=True, return_inverse=True)
-        get, found = self.place.get, np.zeros(len(uniq), np.int64)
-        raw = data.tobytes()
-        for k, key in enumerate(uniq.tolist()):
-            at = get(key)
-            if at is None:
-                f = first[k]
-                at = self._add(key, self.of(raw[w.starts[f] : w.ends[f]].decode("utf-8", "replace")))
-            found[k] = at
-        rows = len(offsets) - 1
-        entry = np.zeros(len(w.hashes) + rows, np.int64)
-        entry[np.arange(len(w.hashes)) + np.repeat(np.arange(rows), np.diff(w.rows))] = found[back]
-        size = self.size[entry]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.start[entry] - ends[:-1], size)]
-        return ids, ends[w.rows + np.arange(rows + 1)]
-
-
 _loaded: dict[str, WordIds] = {}  # the tokenizer stays with a worker; its words go with the task
 
 
 def _pieces(path: str, size: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _loaded:
-            _loaded[path] = WordIds(path)
+            _loaded[path] = WordIds(path, END_ID)
         tokenizer = _loaded[path]
         for batch in batches:
             data, offsets = shared.text_buffers(batch.column(1))
-            for low, high in shared.steps(offsets):
+            for low, high in shared.steps(offsets, TOKENISED):
                 at = offsets[low : high + 1]
                 ids, starts = tokenizer.batch(data[at[0] : at[-1]], at - at[0])
                 n = np.diff(starts)
@@ -146,7 +67,7 @@ def _pieces(path: str, size: int, with_ids: bool):
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
-        tokenizer._clear()
+        tokenizer.clear()
 
     return run
 

@@ -16,6 +16,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from tesserine.llm.word_ids import WordIds
 from tesserine.llm import class_lm, decontamination, near_duplicates, packing, personal_data, quality_classifier, quality_rules, queries, resharding, secrets, shared, substrings
 
 SF = "/root/testdata/sf0.001"
@@ -292,7 +293,7 @@ def test_odd_words_have_the_tokenizers_ids():
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    tokenizer, ours = Tokenizer.from_file(path), packing.WordIds(path)
+    tokenizer, ours = Tokenizer.from_file(path), WordIds(path, 1)
     for t in ("don't CAN'T it's", "a\x1cb a\xa0b x​y", "<|endoftext|>x y<|startoftext|>", "ÉCOLE école école ñandú, straße.", "İstanbul ẞ ΣΑΣ", "日本語 テスト 12ab34 !!??", "…“quoted”—dash", "ª º µ ß"):
         data = np.frombuffer(t.encode(), np.uint8)
         got, _ = ours.batch(data, np.array([0, len(data)]))
