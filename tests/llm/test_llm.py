@@ -15,9 +15,10 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tesserine.llm.word_ids import WordIds
 from tesserine.llm import class_lm, decontamination, near_duplicates, packing, personal_data, quality_classifier, quality_rules, queries, resharding, secrets, shared, substrings
+from tesserine.llm.word_ids import WordIds
 
 SF = "/root/testdata/sf0.001"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -283,7 +284,7 @@ def test_packing(spark, docs, texts):
             assert offset == at
             at += length
         assert at <= 4096
-    assert len(by) <= 1.02 * -(-sum(map(len, ids.values())) // 4096) + 1
+    assert len(by) <= 1.002 * -(-sum(map(len, ids.values())) // 4096) + 2
     whole = packing.sequences(spark, docs, path).collect()
     assert sum(len(r["ids"]) for r in whole) == sum(map(len, ids.values())) and len(whole) == len(by)
 
@@ -300,26 +301,45 @@ def test_odd_words_have_the_tokenizers_ids():
         assert got.tolist() == tokenizer.encode(t, add_special_tokens=False).ids + [1], t
 
 
-def test_sweep_is_best_fit():
+def test_rounds_give_each_piece_the_smallest_free_gap(spark, monkeypatch):
+    """One round, cut into ranges of a few rows, against a plain loop from the longest piece down; then all rounds against the least number of sequences."""
     rng = np.random.default_rng(7)
-    lengths = sorted((int(x) for x in rng.integers(1, 60, 300)), reverse=True)
-    counts = collections.Counter(lengths)
-    plan = packing.sweep(dict(counts), 64)
-    load, ranks = collections.Counter(), collections.Counter()
-    for length, low, high, first, each, at in plan:
-        for r in range(low, high):
-            load[first + (r - low) // each] += length
-            ranks[length] += 1
-            assert at + (r - low) % each * length + length <= 64
-    assert ranks == counts and max(load.values()) <= 64
-    bins = []
-    for x in lengths:
-        fits = [k for k, g in enumerate(bins) if g >= x]
+    monkeypatch.setattr(packing, "RANGE_ROWS", 20)
+    lengths, sizes = [int(x) for x in rng.integers(1, 60, 120)], [int(x) for x in rng.integers(1, 64, 80)]
+    left = spark.createDataFrame(list(enumerate(lengths)), "id long, length long")
+    gaps = spark.createDataFrame(list(enumerate(sizes)), "seq long, gap long")
+    matched, rest = packing.sweep(spark, left, gaps, max(lengths), 200)
+    got = [(lengths[r["id"]], sizes[r["seq"]]) for r in matched.collect()]
+    free, by_hand, over = sorted(sizes), [], []
+    for x in sorted(lengths, reverse=True):
+        fits = [g for g in free if g >= x]
         if fits:
-            bins[min(fits, key=lambda k: bins[k])] -= x
+            free.remove(fits[0])
+            by_hand.append((x, fits[0]))
         else:
-            bins.append(64 - x)
-    assert len(load) == len(bins)
+            over.append(x)
+    assert sorted(got) == sorted(by_hand) and sorted(r["length"] for r in rest.collect()) == sorted(over)
+
+
+def test_places_between_ranges():
+    plan, used = packing.between([(0, 0, 3), (1, 2, 2), (2, 4, 0), (3, 1, 5)])
+    # range 1 takes two of range 0's places, its own two and the last of range 0 go to range 2, which keeps one piece
+    assert plan == [(1, 0, 2, 0, 0), (2, 0, 2, 1, 0), (2, 2, 3, 0, 0)] and used == [(0, 3), (1, 2)]
+
+
+def test_many_small_pieces_after_long_ones(spark, monkeypatch):
+    """Pieces of one token fill the gaps in a few rounds, many to a gap."""
+    rounds = []
+    real = packing.sweep
+    monkeypatch.setattr(packing, "sweep", lambda *x: rounds.append(1) or real(*x))
+    monkeypatch.setattr(packing, "pieces", lambda docs, path, size: docs.select("doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), "length", F.lit(0).cast("long").alias("ids_crc32")))
+    rows = packing.packed(spark, spark.createDataFrame([(i, 3000 if i < 60 else 1) for i in range(60_000)], "doc_id long, length long"), "").collect()
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert len(rows) == 60_000 and len(by) == 60 and len(rounds) <= 8
+    for places in by.values():
+        assert all(b[0] == a[0] + a[1] for a, b in zip(sorted(places), sorted(places)[1:])) and sum(n for _, n in places) <= 4096
 
 
 # --- sharding
