@@ -3,6 +3,7 @@
 import base64
 import bz2
 import collections
+import functools
 import gzip
 import hashlib
 import lzma
@@ -216,42 +217,115 @@ def test_cycles_of_layers_end(monkeypatch):
 # --- language model
 
 
-def test_language_model(spark, docs, texts):
-    got = {r["doc_id"]: r for r in class_lm.scored(spark, docs).collect()}
+def plain_score(words_of, train, class_of):
+    """The model with dictionaries: classes of words are given, everything else is counted here."""
+    c, pairs = collections.Counter(), collections.Counter()
+    for i in train:
+        c.update(words_of[i])
+        kinds = [class_lm.END, *[class_of[x] for x in words_of[i]]]
+        pairs.update(zip(kinds, kinds[1:]))
+    mass, variety, into, out = (collections.Counter() for _ in range(4))
+    for x, n in c.items():
+        mass[class_of[x]] += n
+        variety[class_of[x]] += x is not None
+    for (a, b), n in pairs.items():
+        out[a] += n
+        into[b] += n
+    total = sum(pairs.values())
+    kinds = sorted(mass)
+
+    def after(a, b):
+        if a == "unknown":
+            return sum(variety[x] * after(x, b) for x in kinds) / sum(variety.values())
+        return (pairs[a, b] + class_lm.ALPHA * into[b] / total) / (out[a] + class_lm.ALPHA)
+
+    @functools.lru_cache(None)
+    def given(a, x):
+        if x not in c:
+            return sum(after(a, k) * class_lm.DISCOUNT * variety[k] / mass[k] for k in kinds)
+        return after(a, class_of[x]) * (1 if x is None else (c[x] - class_lm.DISCOUNT) / mass[class_of[x]])
+
+    def score(tokens):
+        at, total = class_lm.END, 0.0
+        for x in tokens:
+            total += math.log10(given(at, x))
+            at = class_of[x] if x in c else "unknown"
+        return total
+
+    return score, given, c
+
+
+def word_classes(spark, docs, tokens, rounds=1):
+    """The operator's classes by word."""
+    rows = docs.select("doc_id", "text", (~class_lm.held_out()).alias("train"))
+    found = {r["k"]: r["class"] for r in class_lm.clustered(spark, shared.cut(spark, rows.mapInArrow(class_lm._encode, class_lm._ENCODED)), rounds).collect()}
+    out = {}
+    for x in tokens:
+        data = np.frombuffer((x or "").encode(), np.uint8)
+        k = class_lm.END_KEY if x is None else int(class_lm.tokens(data, np.array([0, len(data)]))[0][0].view(np.int64))
+        if k in found:
+            out[x] = found[k]
+    return out
+
+
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_language_model(spark, docs, texts, rounds):
+    got = {r["doc_id"]: r for r in class_lm.scored(spark, docs, rounds=rounds).collect()}
     w = {i: [*split(t, True), None] for i, t in texts.items()}
     train = [i for i in texts if zlib.crc32(str(i).encode()) % 10]
-    c = collections.Counter(x for i in train for x in w[i])
+    class_of = word_classes(spark, docs, {x for i in train for x in w[i]}, rounds)
+    score, _, c = plain_score(w, train, class_of)
+    assert set(class_of) == set(c) and len(set(class_of.values())) > 20
     n, v = sum(c.values()), len(c)
     for i, r in got.items():
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i not in train, len(w[i]), sum(x in c for x in w[i]), n)
         assert math.isclose(r["base_score"], sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w[i]), rel_tol=1e-9)
+        assert math.isclose(r["score"], score(w[i]), rel_tol=1e-9)
     for held in (False, True):
         rows = [r for r in got.values() if r["held_out"] == held]
         assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
-    blocks = {r["doc_id"]: r for r in class_lm.scored(spark, docs, block=v // 3).collect()}
-    assert all(math.isclose(blocks[i]["score"], r["score"], rel_tol=1e-9) and blocks[i]["n_known"] == r["n_known"] and math.isclose(blocks[i]["base_score"], r["base_score"], rel_tol=1e-9) for i, r in got.items())
 
 
 def test_model_is_a_distribution(spark):
-    """Over all words and the unknown one, emissions of a class add to one, and so do moves."""
+    """After every class and after the unknown word, all words, the end and the unknown word add to one."""
     rng = np.random.default_rng(5)
     docs = of_texts(spark, [(i, " ".join(rng.choice(["aa", "bb", "cc", "dd", "ee"], 30))) for i in range(20)])
-    model, vocabulary = class_lm.train(spark, docs.select("text"))
-    assert np.allclose((10**model.moves).sum(axis=1), 1)
-    k = vocabulary.toPandas()
-    t = class_lm.Tokens(k["k"].to_numpy().view(np.uint64), (k["k"].to_numpy().view(np.uint64) & np.uint64(class_lm.SHAPES - 1)).astype(np.int64), None)
-    own = model.own[model.types.of(t)]
-    word = k["k"].to_numpy() != int(class_lm.END_HASH.view(np.int64))
-    for c in set(own[word]):
-        mine = word & (own == c)
-        assert math.isclose(((k["n"].to_numpy()[mine] - class_lm.DISCOUNT) / 10 ** model.mass[c]).sum() + 10 ** model.unknown[c], 1, rel_tol=1e-9)
+    w = {r["doc_id"]: [*split(r["text"], True), None] for r in docs.collect()}
+    train = [i for i in w if zlib.crc32(str(i).encode()) % 10]
+    class_of = word_classes(spark, docs, {x for i in train for x in w[i]})
+    _, given, c = plain_score(w, train, class_of)
+    for a in {*class_of.values(), "unknown"}:
+        assert math.isclose(sum(given(a, x) for x in c) + given(a, "zz"), 1, rel_tol=1e-9)
+    table = class_lm.moves(np.ones((class_lm.STATES, class_lm.STATES)), class_lm.Emissions(np.full(class_lm.OTHER, 10.0), np.full(class_lm.OTHER, 2.0), 480, 94))
+    assert np.allclose((10 ** table[:, : class_lm.OTHER]).sum(axis=1), 1)
+
+
+def test_rare_words_join_the_class_of_words_used_alike(spark):
+    """Two kinds of words alternate; words of one occurrence, far too rare to be seeds, are told apart by their neighbours."""
+    rng = np.random.default_rng(13)
+    rows, kind = [], {}
+    for i in range(120):
+        t = []
+        for j in range(60):
+            name = f"{'ab'[j % 2]}{rng.integers(20)}" if rng.random() < 0.9 else f"{rng.choice(['x', 'y'])}{i}q{j}"
+            kind[name] = j % 2
+            t.append(name)
+        rows.append((i, " ".join(t)))
+    docs = of_texts(spark, rows)
+    encoded = shared.cut(spark, docs.select("doc_id", "text", F.lit(True).alias("train")).mapInArrow(class_lm._encode, class_lm._ENCODED))
+    of = {r["k"]: r["class"] for r in class_lm.clustered(spark, encoded, seeds=40).collect()}
+    key = {x: int(class_lm.tokens(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)]))[0][0].view(np.int64)) for x in kind}
+    seeds = [collections.Counter(of[key[x]] for x in kind if x[0] in "ab" and kind[x] == b) for b in (0, 1)]
+    assert not set(seeds[0]) & set(seeds[1])
+    rare = [x for x in kind if x[0] in "xy"]
+    assert len(rare) > 500 and sum(of[key[x]] in seeds[kind[x]] for x in rare) > 0.95 * len(rare)
 
 
 def test_exchange_raises_the_likelihood():
     rng = np.random.default_rng(6)
     kind = rng.integers(0, 3, 31)
     b = rng.poisson(np.where((kind[:, None] + 1) % 3 == kind[None, :], 20, 1)).astype(float)
-    own = class_lm.exchange(b, classes=4)
+    own = class_lm.exchange(b, 4)
 
     def likelihood(of):
         m = np.eye(4)[of]
