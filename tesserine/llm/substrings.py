@@ -7,9 +7,9 @@ also stands in a document with a smaller doc_id.
    windows have equal anchors. Anchors that stand in one document only can't
    belong to a repeat; a bitmap of bounded size holds the others.
 2. Consecutive windows with one anchor are a passage. Equal passages are one
-   class: those in documents after the class's first go whole, and only what
-   stands in its first document is looked at further. However often a passage is
-   copied, one of it is left.
+   class, by 128 bits of hash: those in documents after the class's first go whole, without
+   meeting an automaton, and only what stands in its first document is looked at further.
+   However often a passage is copied, one of it is left.
 3. Windows of these passages are grouped by their hash, partially before the
    shuffle. The first document of a window that several hold is its reference.
 4. References, as maximal runs, are dealt into shards of a bounded number of
@@ -17,13 +17,14 @@ also stands in a document with a smaller doc_id.
    shard, which knows for every state the smallest document. The passages left
    are streamed through their shard's automaton: their matching statistics,
    restricted to smaller documents, give the maximal spans of ``length`` words
-   and more. The automaton compares words, so window hashes only route. A shard
-   with much to stream is salted: its automaton stands on several tasks.
+   and more. The automaton compares words, so for these passages window hashes only route. A shard
+   with much to stream is salted: its automaton stands on several tasks. A shard with too many
+   references, as around one common run of words, is split, and all its passages visit each part.
 5. The spans of a document are united and its other words kept.
 
 Edge cases: a null or blank text has no words. A row whose doc_id is null
 neither removes nor loses words. Rows that share a doc_id count as one document
-for others, and each is cut by itself. Extra columns are not looked at.
+for others, and each is cut by itself: spans belong to the doc_id and the text's hash. Extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.llm import shared
@@ -42,6 +43,8 @@ from tesserine.llm.words import U, Words, inside, minimizers, mix, row_of, runs,
 ANCHOR_WORDS = 25
 #: Reference windows in a shard, and windows that a task streams through one automaton, on average.
 SHARD_WINDOWS, STREAM_WINDOWS = 4_000, 200_000
+#: Reference windows in a part of a shard, on average at most.
+MOST_WINDOWS = 50_000
 
 
 class Automaton:
@@ -120,18 +123,19 @@ def _windows(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[Words,
     return w, at, anchor, mix(keys[anchor]) if len(at) else keys[:0]  # smallest hashes begin with zeros: mixed again
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of rows (doc_id, text, c): ids, hashes of texts, and the texts."""
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, c = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(2).to_numpy(zero_copy_only=False)
         data, offsets = shared.text_buffers(batch.column(1))
         for low, high in shared.steps(offsets):
             at = offsets[low : high + 1]
-            yield ids[low:high], data[at[0] : at[-1]], at - at[0]
+            yield ids[low:high], c[low:high], data[at[0] : at[-1]], at - at[0]
 
 
 def _anchors(length: int):
     def run(batches):
-        for ids, data, offsets in _pieces(batches):
+        for ids, _, data, offsets in _pieces(batches):
             w, at, anchor, keys = _windows(data, offsets, length)
             if len(at):
                 new = np.ones(len(at), bool)
@@ -150,7 +154,7 @@ def _passages(length: int, anchors, only=None):
     """Runs of windows with one shared anchor: two hashes, the anchor's, the document, first word and windows; with ``only``, of the places in that bitmap, with the text instead."""
 
     def run(batches):
-        for ids, data, offsets in _pieces(batches):
+        for ids, texts, data, offsets in _pieces(batches):
             w, at, anchor, keys = _windows(data, offsets, length)
             take = shared.passes(anchors.value, keys)
             if not take.any():
@@ -161,49 +165,49 @@ def _passages(length: int, anchors, only=None):
             new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(at)) - 1
-            doc, place = ids[row[first]], at[first] - w.rows[row[first]]
+            doc, c, place = ids[row[first]], texts[row[first]], at[first] - w.rows[row[first]]
             if only is None:
                 whole = runs(w.hashes, length)
                 n = last - first + 1  # the first and the last window overlap: together they are the passage
-                yield pa.RecordBatch.from_arrays([pa.array(whole[at[first]].view(np.int64)), pa.array(mix(whole[at[last]] + n.astype(np.uint64)).view(np.int64)), pa.array(doc), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "g", "doc_id", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(whole[at[first]].view(np.int64)), pa.array(mix(whole[at[last]] + n.astype(np.uint64)).view(np.int64)), pa.array(doc), pa.array(c), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "g", "doc_id", "c", "at", "n"])
                 continue
-            wanted = shared.passes(only.value, _place(doc, place))
-            first, last, doc, place = first[wanted], last[wanted], doc[wanted], place[wanted]
+            wanted = shared.passes(only.value, _place(doc, c, place))
+            first, last, doc, c, place = first[wanted], last[wanted], doc[wanted], c[wanted], place[wanted]
             begin, end = w.starts[at[first]], w.ends[at[last] + length - 1]
             raw = data.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [pa.array((keys[first] & U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), pa.array(doc), pa.array(place.astype(np.int32)), pa.array([raw[x:y] for x, y in zip(begin.tolist(), end.tolist())], pa.binary())], ["a", "doc_id", "at", "text"]
+                [pa.array((keys[first] & U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), pa.array(doc), pa.array(c), pa.array(place.astype(np.int32)), pa.array([raw[x:y] for x, y in zip(begin.tolist(), end.tolist())], pa.binary())], ["a", "doc_id", "c", "at", "text"]
             )
 
     return run
 
 
-def _place(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return mix(mix(doc.astype(np.int64).view(np.uint64)) + at.astype(np.uint64))
+def _place(doc: np.ndarray, c: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return mix(mix(doc.astype(np.int64).view(np.uint64)) + c.astype(np.int32).view(np.uint32) * U(1 << 32) + at.astype(np.uint64))
 
 
 def _places(batches):
     for batch in batches:
-        keys = _place(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+        keys = _place(*(c.to_numpy() for c in batch.columns))
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["k"])
 
 
 def _passage_windows(length: int):
-    """All windows of passages (a, doc_id, at, text, copied)."""
+    """All windows of passages (a, doc_id, c, at, text, copied)."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            column = batch.column(3).cast(pa.large_binary())
+            column = batch.column(4).cast(pa.large_binary())
             offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
             data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-            a, doc, place, copied = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 4))
+            a, doc, c, place, copied = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3, 5))
             for low, high in shared.steps(offsets):
                 w = words(data[offsets[low] - offsets[0] : offsets[high] - offsets[0]], offsets[low : high + 1] - offsets[low])
                 at = inside(w.rows, length)
                 row = row_of(w.rows)[at]
-                yield pa.RecordBatch.from_arrays([pa.array(runs(w.hashes, length)[at].view(np.int64)), pa.array(a[low + row]), pa.array(doc[low + row]), pa.array((place[low + row] + at - w.rows[row]).astype(np.int32)), pa.array(copied[low + row])], ["w", "a", "doc_id", "at", "copied"])
+                yield pa.RecordBatch.from_arrays([pa.array(runs(w.hashes, length)[at].view(np.int64)), pa.array(a[low + row]), pa.array(doc[low + row]), pa.array(c[low + row]), pa.array((place[low + row] + at - w.rows[row]).astype(np.int32)), pa.array(copied[low + row])], ["w", "a", "doc_id", "c", "at", "copied"])
 
     return run
 
@@ -214,13 +218,13 @@ def _references(length: int):
     def run(batches):
         for batch in batches:
             out = []
-            for a, doc, at, text, firsts in zip(*(c.to_pylist() for c in batch.columns)):
+            for a, doc, c, at, text, firsts in zip(*(c.to_pylist() for c in batch.columns)):
                 parts = text.split()
                 own = np.array(sorted({x - at for x in firsts if at <= x <= at + len(parts) - length}))
                 if len(own):
                     for run_ in np.split(own, np.flatnonzero(np.diff(own) > 1) + 1):
-                        out.append((a, doc, at + int(run_[0]), b" ".join(parts[run_[0] : run_[-1] + length])))
-            yield pa.RecordBatch.from_pylist([dict(zip(("a", "doc_id", "at", "text"), x)) for x in out], pa.schema([("a", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int32()), ("text", pa.binary())]))
+                        out.append((a, doc, c, at + int(run_[0]), b" ".join(parts[run_[0] : run_[-1] + length])))
+            yield pa.RecordBatch.from_pylist([dict(zip(("a", "doc_id", "c", "at", "text"), x)) for x in out], pa.schema([("a", pa.int32()), ("doc_id", pa.int64()), ("c", pa.int32()), ("at", pa.int32()), ("text", pa.binary())]))
 
     return run
 
@@ -231,48 +235,52 @@ def _matched(length: int):
     def run(batches):
         now, automaton, pool = None, Automaton(), {}
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for shard, salt, stream, doc, at, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if (shard, salt) != now:
-                    now, automaton, pool = (shard, salt), Automaton(), {}
+            out: tuple[list, ...] = ([], [], [], [])
+            for shard, part, salt, stream, doc, c, at, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (shard, part, salt) != now:
+                    now, automaton, pool = (shard, part, salt), Automaton(), {}
                 parts = text.split()
                 if not stream:
                     automaton.add([pool.setdefault(x, x) for x in parts], doc)
                     continue
                 for low, high in automaton.spans(parts, doc, length):
-                    out[0].append(doc)
-                    out[1].append(at + low)
-                    out[2].append(at + high)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], ["doc_id", "start", "end"])
+                    for values, x in zip(out, (doc, c, at + low, at + high)):
+                        values.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *[pa.array(x, pa.int32()) for x in out[1:]]], ["doc_id", "c", "start", "end"])
 
     return run
 
 
+def _content() -> Column:
+    """What tells rows of one doc_id apart."""
+    return F.hash(F.col("text").cast("string")).alias("c")
+
+
 def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = 50) -> DataFrame:
-    """(doc_id, start, end): spans of words, end exclusive, that stand in a document with a smaller doc_id; they may overlap."""
-    texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """(doc_id, c, start, end), c being the hash of the text: spans of words, end exclusive, that stand in a document with a smaller doc_id; they may overlap."""
+    texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _content())
     anchors = shared.cut(spark, texts.mapInArrow(_anchors(length), "a long, doc_id long").groupBy("a").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("a"))
     passing = spark.sparkContext.broadcast(shared.bitmap(anchors, "a", anchors.count()))
-    passages = shared.cut(spark, texts.mapInArrow(_passages(length, passing), "h long, g long, doc_id long, at int, n int"))
+    passages = shared.cut(spark, texts.mapInArrow(_passages(length, passing), "h long, g long, doc_id long, c int, at int, n int"))
     classes = passages.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    placed = shared.cut(spark, passages.join(classes, ["h", "g"]).select("doc_id", "at", "n", (F.col("doc_id") == F.col("first")).alias("own"), (F.col("last") > F.col("first")).alias("copied")))
-    copies = placed.filter("not own").select("doc_id", F.col("at").alias("start"), F.expr(f"at + n + {length - 1}").alias("end"))
-    own = placed.filter("own").select("doc_id", "at", "copied")
-    places = own.select("doc_id", "at").mapInArrow(_places, "k long")
+    placed = shared.cut(spark, passages.join(classes, ["h", "g"]).select("doc_id", "c", "at", "n", (F.col("doc_id") == F.col("first")).alias("own"), (F.col("last") > F.col("first")).alias("copied")))
+    copies = placed.filter("not own").select("doc_id", "c", F.col("at").alias("start"), F.expr(f"at + n + {length - 1}").alias("end"))
+    own = placed.filter("own").select("doc_id", "c", "at", "copied")
+    places = own.select("doc_id", "c", "at").mapInArrow(_places, "k long")
     only = spark.sparkContext.broadcast(shared.bitmap(places, "k", own.count()))
-    kinds = "a int, doc_id long, at int, text binary"
-    left = shared.cut(spark, texts.mapInArrow(_passages(length, passing, only), kinds).join(own.distinct(), ["doc_id", "at"]).select("a", "doc_id", "at", "text", "copied"))
-    firsts = left.mapInArrow(_passage_windows(length), "w long, a int, doc_id long, at int, copied boolean").withColumn("place", F.struct("doc_id", "at"))
+    kinds = "a int, doc_id long, c int, at int, text binary"
+    left = shared.cut(spark, texts.mapInArrow(_passages(length, passing, only), kinds).join(own.distinct(), ["doc_id", "c", "at"]).select("a", "doc_id", "c", "at", "text", "copied"))
+    firsts = left.mapInArrow(_passage_windows(length), "w long, a int, doc_id long, c int, at int, copied boolean").withColumn("place", F.struct("doc_id", "c", "at"))
     firsts = firsts.groupBy("w", "a").agg(F.min("place").alias("first"), F.max("doc_id").alias("last"), F.max("copied").alias("copied"), F.count("*").alias("n")).filter("copied or first.doc_id < last")
-    firsts = shared.cut(spark, firsts.select("a", "first.doc_id", "first.at", "n"))
+    firsts = shared.cut(spark, firsts.select("a", "first.doc_id", "first.c", "first.at", "n"))
     shards = max(1, -(-firsts.count() // SHARD_WINDOWS))
-    salts = shared.cut(spark, firsts.groupBy(F.expr(f"pmod(hash(a), {shards})").alias("shard")).agg(F.expr(f"cast(ceil(sum(n) / {STREAM_WINDOWS}) as int)").alias("salts")))
-    held = left.join(firsts.groupBy("doc_id", "a").agg(F.collect_list("at").alias("firsts")), ["doc_id", "a"]).select("a", "doc_id", "at", "text", "firsts").mapInArrow(_references(length), kinds)
+    salts = shared.cut(spark, firsts.groupBy(F.expr(f"pmod(hash(a), {shards})").alias("shard")).agg(F.expr(f"cast(ceil(sum(n) / {STREAM_WINDOWS}) as int)").alias("salts"), F.expr(f"cast(ceil(count(*) / {MOST_WINDOWS}) as int)").alias("parts")))
+    held = left.join(firsts.groupBy("doc_id", "c", "a").agg(F.collect_list("at").alias("firsts")), ["doc_id", "c", "a"]).select("a", "doc_id", "c", "at", "text", "firsts").mapInArrow(_references(length), kinds)
     shard = F.expr(f"pmod(hash(a), {shards})").alias("shard")
-    held = held.select("*", shard).join(salts, "shard").select("shard", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(False).alias("stream"), "doc_id", "at", "text")
-    streamed = left.select("*", shard).join(salts, "shard").select("shard", F.expr("cast(pmod(xxhash64(doc_id), salts) as int)").alias("salt"), F.lit(True).alias("stream"), "doc_id", "at", "text")
-    together = held.union(streamed).repartition(shared.partitions(spark), "shard", "salt").sortWithinPartitions("shard", "salt", "stream", "doc_id")
-    return copies.union(together.mapInArrow(_matched(length), "doc_id long, start int, end int"))
+    held = held.select("*", shard).join(salts, "shard").select("shard", F.expr("cast(pmod(xxhash64(doc_id, at), parts) as int)").alias("part"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(False).alias("stream"), "doc_id", "c", "at", "text")
+    streamed = left.select("*", shard).join(salts, "shard").select("shard", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.expr("cast(pmod(xxhash64(doc_id), salts) as int)").alias("salt"), F.lit(True).alias("stream"), "doc_id", "c", "at", "text")
+    together = held.union(streamed).repartition(shared.partitions(spark), "shard", "part", "salt").sortWithinPartitions("shard", "part", "salt", "stream", "doc_id")
+    return copies.union(together.mapInArrow(_matched(length), "doc_id long, c int, start int, end int"))
 
 
 def _kept(batches):
@@ -302,8 +310,8 @@ def _digested(batches):
 def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, digest: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) for each row; with ``digest``, kept_sha256 in place of the text."""
     spans = shared.cut(spark, repeated_spans(spark, docs, length))
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    with_spans = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    spans = spans.groupBy("doc_id", "c").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    with_spans = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _content()).join(spans, ["doc_id", "c"], "left").select("doc_id", "text", "spans")
     if digest:
         return with_spans.mapInArrow(_digested, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     return with_spans.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_text string")

@@ -72,6 +72,7 @@ def test_substrings_salted_shards(spark, monkeypatch):
     """A passage in all documents, within and across shards of a few windows."""
     monkeypatch.setattr(substrings, "SHARD_WINDOWS", 3)
     monkeypatch.setattr(substrings, "STREAM_WINDOWS", 5)
+    monkeypatch.setattr(substrings, "MOST_WINDOWS", 4)
     rng = np.random.default_rng(1)
     words = [f"w{i}" for i in range(400)]
     hot = " ".join(rng.choice(words, 30))
@@ -601,6 +602,14 @@ def test_alignment_equals_plain_smith_waterman():
         assert best == h.max() and (best == 0 or 0 <= start < end <= len(b)) and matches <= len(a)
 
 
-def test_hash_of_kept_words(spark, docs):
-    r = queries.op2_substring_dedup(spark, SF).first()
-    assert re.fullmatch("[0-9a-f]{64}", r["kept_sha256"]) and hashlib.sha256(b"").hexdigest()
+def test_hash_of_kept_words(spark, texts):
+    by_hand = {i: hashlib.sha256(t.encode()).hexdigest() for i, (_, _, t) in remove_by_hand(texts, 50).items()}
+    assert {r["doc_id"]: r["kept_sha256"] for r in queries.op2_substring_dedup(spark, SF).collect()} == by_hand
+
+
+def test_substrings_of_rows_with_one_doc_id(spark):
+    """Each row loses what it repeats itself; the other's places say nothing about it."""
+    a, u, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "aub")
+    rows = [(1, a), (2, a), (2, u), (2, f"{b} {a}"), (3, u)]
+    got = sorted((r["doc_id"], r["kept_text"]) for r in substrings.remove_repeats(spark, of_texts(spark, rows), 50).collect())
+    assert got == sorted([(1, a), (2, ""), (2, u), (2, b), (3, "")])
