@@ -10,6 +10,7 @@ import lzma
 import math
 import os
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -537,6 +538,63 @@ def test_redaction(spark, docs):
         assert "@" not in r["text"] and "<email>" in r["text"] and r["n_chars"] == len(r["text"])
 
 
+def test_overlapping_spans_are_redacted_as_one(spark):
+    """Against slices of the text, over several pieces of it."""
+    rng = np.random.default_rng(14)
+    text = "".join(rng.choice(list("ab é日\U0001f600\n"), 5000))
+    spans = sorted((int(a), 0, int(a + n)) for a, n in zip(rng.integers(0, 4990, 60), rng.integers(1, 9, 60)))
+    out, at = "", 0
+    for a, _, b in spans:
+        if a >= at:
+            out += text[at:a] + "<email>"
+        at = max(at, b)
+    out += text[at:]
+    row = spark.createDataFrame([(text, [(*x, "") for x in spans])], "text string, found array<struct<start:int,kind:int,end:int,s:string>>")
+    assert row.select(F.expr(personal_data._REDACTED).alias("x")).first()["x"] == out
+
+
+def test_candidates_meet_spans(spark):
+    rng = np.random.default_rng(15)
+
+    def some(n, kind):
+        return sorted((int(a), kind, int(a + k)) for a, k in zip(rng.integers(0, 4000, n), rng.integers(1, 9, n)))
+
+    base, wide = some(600, 0), some(700, 4)
+    kind = "array<struct<start:int,kind:int,end:int>>"
+    got = spark.createDataFrame([(base, wide), ([], wide), (base, [])], f"base {kind}, wide {kind}").select(F.expr(personal_data._meets("base")).alias("x")).collect()
+    assert got[0]["x"] == [any(b[0] < c[2] and c[0] < b[2] for b in base) for c in wide] and not any(got[1]["x"]) and got[2]["x"] == []
+
+
+def test_added_spans(spark):
+    """Spelt-out addresses and numbers without their plus are found; order numbers, long hexadecimal numbers and sentences aren't."""
+    rng = np.random.default_rng(16)
+
+    def card(ok):
+        d = [int(x) for x in rng.integers(1, 10, 15)]
+        c = -sum(x * 2 - 9 * (x > 4) if k % 2 == 0 else x for k, x in enumerate(reversed(d))) % 10
+        return "".join(map(str, d)) + str(c if ok else (c + 3) % 10)
+
+    rows = []
+    for i in range(300):
+        said = [f"write to u{i}@mail{i % 7}.example.com or", f"call +1 ({rng.integers(100, 999)}) 555-{rng.integers(1000, 9999)} at", f"from 10.{i % 256}.3.4 with", f"card {card(True)} and", f"order {card(False)} or", f"key {rng.integers(0, 2**60):x}{i}f{rng.integers(10**7, 10**8)}c now"]
+        rows.append((i, " ".join(rng.permutation(said))))
+    odd = [(1000, "ask jane.roe (at) mail (dot) example (dot) com please"), (1001, "or (617) 555-0134 today"), (1002, f"order {card(False)} came"), (1003, "we met @ home. Then left"), (1004, "token a12345678b9012345678c")]
+    got = {r["doc_id"]: [x["s"] for x in r["found"]] for r in personal_data.personal_spans(spark, of_texts(spark, rows + odd)).collect()}
+    assert got[1000] == ["jane.roe (at) mail (dot) example (dot) com"] and got[1001] == ["(617) 555-0134"]
+    assert got[1002] == got[1003] == got[1004] == []
+    assert all(len(got[i]) == 4 for i, _ in rows)
+
+
+def test_texts_with_many_matches(spark):
+    t = " ".join(f"+1 (017) 555-{k % 10000:04d} or 1234567 u{k}@b.cd" for k in range(10_000))
+    began = time.time()
+    r = personal_data.personal_spans(spark, of_texts(spark, [(1, t)])).first()
+    assert len(r["base"]) == 20_000 and [(x["start"], x["kind"], x["end"]) for x in r["base"]] == personal_by_hand(t)
+    assert time.time() - began < 60  # seconds; it was minutes when every match copied those before it
+    out = personal_data.redacted(spark, of_texts(spark, [(1, t)])).first()["text"]
+    assert out.count("<phone>") == out.count("<email>") == 10_000
+
+
 def test_boosting_learns():
     x = np.array([[a, b] for a in range(4) for b in range(4)])
     n, hits = np.full(16, 50.0), np.where((x[:, 0] > 1) & (x[:, 1] < 2), 45.0, 3.0)
