@@ -146,11 +146,11 @@ def judged(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def kept(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with their columns, that are kept. The features are made again rather than joined: no text is shuffled."""
-    looked = shared.cut(spark, features(docs.select("text")).select(*FEATURES))
-    odds = _fit(looked)
+    """The rows of ``docs``, with their columns, that are kept. The features are made once and written beside the rows: no text is shuffled."""
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("text"))
-    return _voted(features(inner)).filter(F.expr(f"not ({BASE_FAILED}) and ({odds}) >= 0")).select("__row.*")
+    looked = shared.cut(spark, features(inner).select("__row", *FEATURES))
+    odds = _fit(looked.select(*FEATURES))
+    return _voted(looked).filter(F.expr(f"not ({BASE_FAILED}) and ({odds}) >= 0")).select("__row.*")
 
 
 def sql() -> str:
