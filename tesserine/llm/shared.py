@@ -20,8 +20,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share: ``spark.checkpoint.dir``; where that is unset (tests), one under /tmp."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tesserine-checkpoints"
+    """The folder that all machines share: ``spark.checkpoint.dir``; where that is unset, one under /tmp in a local session and an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return "file:///tmp/tesserine-checkpoints"
 
 
 def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
@@ -34,7 +39,15 @@ def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_written"] = where
+    return out
+
+
+def drop(spark: SparkSession, df: DataFrame) -> None:
+    """Removes the files of a table that cut() wrote, once nothing reads it any more."""
+    where = df.__dict__["_written"]
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -261,9 +261,13 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = 50) -> Da
     texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _content())
     anchors = shared.cut(spark, texts.mapInArrow(_anchors(length), "a long, doc_id long").groupBy("a").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("a"))
     passing = spark.sparkContext.broadcast(shared.bitmap(anchors, "a", anchors.count()))
+    shared.drop(spark, anchors)
     passages = shared.cut(spark, texts.mapInArrow(_passages(length, passing), "h long, g long, doc_id long, c int, at int, n int"))
-    classes = passages.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    placed = shared.cut(spark, passages.join(classes, ["h", "g"]).select("doc_id", "c", "at", "n", (F.col("doc_id") == F.col("first")).alias("own"), (F.col("last") > F.col("first")).alias("copied")))
+    # classes are a table of their own, so that the join can split the class that holds a third of all passages
+    classes = shared.cut(spark, passages.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h", "g", "first"))
+    placed = shared.cut(spark, passages.join(classes, ["h", "g"], "left").select("doc_id", "c", "at", "n", F.coalesce(F.col("doc_id") == F.col("first"), F.lit(True)).alias("own"), F.col("first").isNotNull().alias("copied")))
+    shared.drop(spark, passages)
+    shared.drop(spark, classes)
     copies = placed.filter("not own").select("doc_id", "c", F.col("at").alias("start"), F.expr(f"at + n + {length - 1}").alias("end"))
     own = placed.filter("own").select("doc_id", "c", "at", "copied")
     places = own.select("doc_id", "c", "at").mapInArrow(_places, "k long")
