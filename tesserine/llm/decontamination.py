@@ -130,7 +130,7 @@ def _steps(batches: Iterator[pa.RecordBatch]):
         data, offsets = shared.text_buffers(batch.column(1))
         for low, high in shared.steps(offsets):
             at = offsets[low : high + 1]
-            yield batch.column(0).slice(low, high - low).to_pylist(), words(data[at[0] : at[-1]], at - at[0], lower=True, breaks=PUNCTUATION)
+            yield list(zip(batch.column(0).slice(low, high - low).to_pylist(), batch.column(2).slice(low, high - low).to_pylist())), words(data[at[0] : at[-1]], at - at[0], lower=True, breaks=PUNCTUATION)
 
 
 def _bound(item: np.ndarray, passage: np.ndarray) -> int:
@@ -165,8 +165,9 @@ def _aligned(sent, threshold: float):
             place = np.repeat(items.begin[seed] - np.concatenate([[0], np.cumsum(many)[:-1]]) if len(seed) else seed, many) + np.arange(many.sum())
             item, inner, at = items.item[place], items.at[place], np.repeat(at, many)
             row = row_of(w.rows)[at] if len(at) else at
-            order = np.lexsort((at - inner, item, row))
-            row, item, begins = row[order], item[order], (at - inner)[order]
+            begins = at - inner
+            order = np.lexsort((begins, item, row))
+            row, item, begins = row[order], item[order], begins[order]
             # hits of one item in one text whose diagonals lie near each other
             size = sizes[item]
             far = (np.diff(row) != 0) | (np.diff(item) != 0) | (np.diff(begins) > size[1:])
@@ -184,20 +185,20 @@ def _aligned(sent, threshold: float):
                     score = best / (MATCH * n)
                     if score >= threshold and score > out.get((r, i), (0,))[0]:
                         out[r, i] = (score, matches, int(low + start - w.rows[r]), int(low + stop - w.rows[r]))
-            found = [(ids[r], items.ids[i], len(items.words[i]), *v) for (r, i), v in sorted(out.items())]
-            columns = list(zip(*found)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "item_words", "score", "n_matches", "start_word", "end_word"])
+            found = [(ids[r][0], items.ids[i], len(items.words[i]), *v, ids[r][1]) for (r, i), v in sorted(out.items())]
+            columns = list(zip(*found)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "item_words", "score", "n_matches", "start_word", "end_word", "content"])
 
     return run
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, item_words, score, n_matches, start_word, end_word): the best alignment of each document and item from ``threshold`` on."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """(doc_id, item_id, item_words, score, n_matches, start_word, end_word, content), content being the text's hash: the best alignment of each document and item from ``threshold`` on."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("content"))
     tests = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = tests.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_WORDS))
-    schema = "doc_id long, item_id long, item_words long, score double, n_matches long, start_word long, end_word long"
+    schema = "doc_id long, item_id long, item_words long, score double, n_matches long, start_word long, end_word long, content long"
     found = None
     for b in range(blocks):
         items = sorted(((r["item_id"], r["text"]) for r in tests.filter(F.expr(f"pmod(xxhash64(text), {blocks}) = {b}")).collect()), key=lambda x: (x[0] is None, x[0], x[1]))

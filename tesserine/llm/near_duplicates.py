@@ -27,8 +27,9 @@ costs about m tests.
 
 Edge cases: a null, empty or blank text has an empty set, is linked with
 nothing and is kept. A text with fewer words than a shingle has one shingle,
-the whole sequence. Rows with one doc_id count as one document and are all
-returned. A row whose doc_id is null is returned with a null component and
+the whole sequence. Rows with one doc_id count as one document, whatever their texts, and are all
+returned: what one of them is linked with is linked with all. With ``apart`` they are
+documents of their own where their texts differ, and of equal doc_ids the smallest hash of the text is kept. A row whose doc_id is null is returned with a null component and
 kept. Columns other than doc_id and text are not looked at.
 """
 
@@ -114,6 +115,7 @@ def _sketched(n: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[low:high].cast(pa.int64()),
+                        batch.column(2)[low:high],
                         pa.array(size, pa.int64()),
                         pa.array(whole[0].view(np.int64)),
                         pa.array(whole[1].view(np.int64)),
@@ -121,7 +123,7 @@ def _sketched(n: int):
                         pa.array(np.ascontiguousarray(bits[:, 1])),
                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(held)]), pa.int32()), pa.array(bands[size > 0].reshape(-1).view(np.int64))),
                     ],
-                    ["doc_id", "n_shingles", "k0", "k1", "b0", "b1", "bands"],
+                    ["doc_id", "content", "n_shingles", "k0", "k1", "b0", "b1", "bands"],
                 )
 
     return run
@@ -184,10 +186,35 @@ def connected(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, similarity: int = 80, rounds: int = 2) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``; linked: 100 * |A and B| >= similarity * |A or B|."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    all_rows = shared.cut(spark, texts.mapInArrow(_sketched(shingle), "doc_id long, n_shingles long, k0 long, k1 long, b0 long, b1 long, bands array<long>"))
+def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, similarity: int = 80, rounds: int = 2, apart: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, content) for each row of ``docs``; linked: 100 * |A and B| >= similarity * |A or B|; content: the text's hash."""
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("content"))
+    several = texts.filter("doc_id is not null").groupBy("doc_id").agg(F.min("content").alias("x"), F.max("content").alias("y")).filter("x <> y").select("doc_id", F.lit(True).alias("several"))
+    several = shared.cut(spark, several)
+    if several.isEmpty():
+        return _linked(spark, texts, shingle, similarity, rounds)
+    # rows that share a doc_id but not a text go by another number, a hash of both
+    named = texts.join(several, "doc_id", "left").withColumn("own", F.expr("if(several, xxhash64(doc_id, content, 1), doc_id)"))
+    rows = shared.cut(spark, named.select(F.col("own").alias("doc_id"), "text", "content", F.col("doc_id").alias("real")))
+    found = shared.cut(spark, _linked(spark, rows.select("doc_id", "text", "content"), shingle, similarity, rounds).withColumnRenamed("doc_id", "own"))
+    names = rows.filter("real is not null").select(F.col("doc_id").alias("own"), "real").distinct()
+    found = found.join(names, "own", "left")
+    if not apart:  # the texts of one document are linked
+        links = found.filter("real is not null").select("real", "component_id").distinct()
+        links = links.join(links.groupBy("real").agg(F.min("component_id").alias("b")), "real").filter("component_id <> b").select(F.col("component_id").alias("a"), "b")
+        parts = connected(spark, links) if not links.isEmpty() else None
+        if parts is not None:
+            found = found.join(parts.select(F.col("node").alias("component_id"), "component"), "component_id", "left").withColumn("component_id", F.coalesce("component", "component_id")).drop("component")
+    found = shared.cut(spark, found)
+    first = found.filter("real is not null").groupBy("component_id").agg(F.min(F.struct("real", "content")).alias("first"))
+    found = found.join(first, "component_id", "left").withColumn("kept", F.coalesce((F.col("real") == F.col("first.real")) & (F.lit(not apart) | (F.col("content") == F.col("first.content"))), F.lit(True)))
+    return found.select(F.col("real").alias("doc_id"), "n_shingles", F.col("first.real").alias("component_id"), "kept", "content")
+
+
+def _linked(spark: SparkSession, texts: DataFrame, shingle: int, similarity: int, rounds: int) -> DataFrame:
+    """The same, where rows with one doc_id have one text."""
+    all_rows = shared.cut(spark, texts.mapInArrow(_sketched(shingle), "doc_id long, content long, n_shingles long, k0 long, k1 long, b0 long, b1 long, bands array<long>"))
     # equal sets are one class, named by its smallest doc_id
     classes = all_rows.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "k0", "k1").agg(F.min("doc_id").alias("id"))
     heads = all_rows.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -199,15 +226,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, simi
     parts = None
     if count:
         wanted = spark.sparkContext.broadcast(shared.bitmap(nodes.mapInArrow(_mixed, "k long"), "k", count))
-        sets = shared.cut(spark, texts.filter("doc_id is not null").mapInArrow(_sets(shingle, wanted), "id long, set binary").join(nodes.select("id"), "id", "left_semi").dropDuplicates(["id"]))
+        sets = shared.cut(spark, texts.filter("doc_id is not null").select("doc_id", "text").mapInArrow(_sets(shingle, wanted), "id long, set binary").join(nodes.select("id"), "id", "left_semi").dropDuplicates(["id"]))
         parts = _components(spark, entries, nodes, sets, similarity, rounds)
     found = classes.withColumn("component", F.col("id")) if parts is None else classes.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     return (
-        all_rows.select("doc_id", "n_shingles", "k0", "k1")
+        all_rows.select("doc_id", "n_shingles", "k0", "k1", "content")
         .join(found.select("n_shingles", "k0", "k1", "component"), ["n_shingles", "k0", "k1"], "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "content")
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
         .withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+        .select("doc_id", "n_shingles", "component_id", "kept", "content")
     )
 
 

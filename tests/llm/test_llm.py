@@ -134,6 +134,16 @@ def test_near_duplicates(spark, docs, texts):
     assert got == {i: (len(sets[i]), parts[i], parts[i] == i) for i in sets}
 
 
+def test_rows_with_one_doc_id(spark):
+    """As one document they link what either is linked with; apart, each text has its own group."""
+    a, u = (" ".join(f"{x}{k}" for k in range(30)) for x in "au")
+    rows = of_texts(spark, [(1, a), (5, a), (5, u), (7, u), (9, "alone")])
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates.near_duplicates(spark, rows).collect())
+    assert got == [(1, 1, True), (5, 1, False), (5, 1, False), (7, 1, False), (9, 9, True)]
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates.near_duplicates(spark, rows, apart=True).collect())
+    assert got == [(1, 1, True), (5, 1, False), (5, 5, True), (7, 5, False), (9, 9, True)]
+
+
 def test_near_duplicates_in_families(spark):
     """Edits of edits: centres miss links that the rest has to find."""
     rng = np.random.default_rng(3)
