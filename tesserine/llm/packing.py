@@ -149,6 +149,8 @@ def sweep(spark: SparkSession, left: DataFrame, gaps: DataFrame, longest: int, r
     swept = shared.cut(spark, swept)
     counts = swept.filter("k is not null").groupBy("part").agg(F.expr("count_if(m is null)").alias("pieces"), F.coalesce(F.sum("m"), F.lit(0)).alias("places")).collect()
     plan, used = between(sorted((r["part"], r["pieces"], r["places"]) for r in counts))
+    if not plan:  # nothing is matched between ranges
+        return swept.filter("k is null").select("id", "seq", "length"), swept.filter("k is not null and m is null").select("id", "length")
     plan = F.broadcast(spark.createDataFrame(plan, "p long, low long, high long, q long, shift long"))
     used = F.broadcast(spark.createDataFrame(used, "p long, used long"))
     pieces_left = swept.filter("k is not null and m is null").join(plan, F.expr("part = p and k >= low and k < high"), "left").select("id", "length", "q", (F.col("k") + F.col("shift")).alias("at"))
