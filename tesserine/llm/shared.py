@@ -45,9 +45,10 @@ def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 
 def drop(spark: SparkSession, df: DataFrame) -> None:
-    """Removes the files of a table that cut() wrote, once nothing reads it any more."""
+    """Removes the files of a table that cut() wrote, once nothing reads it any more, and lets the driver find the shuffle files that nothing refers to."""
     where = df.__dict__["_written"]
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    spark.sparkContext._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -273,6 +273,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = 50) -> Da
     places = own.select("doc_id", "c", "at").mapInArrow(_places, "k long")
     only = spark.sparkContext.broadcast(shared.bitmap(places, "k", own.count()))
     kinds = "a int, doc_id long, c int, at int, text binary"
+    del classes, passages
     left = shared.cut(spark, texts.mapInArrow(_passages(length, passing, only), kinds).join(own.distinct(), ["doc_id", "c", "at"]).select("a", "doc_id", "c", "at", "text", "copied"))
     firsts = left.mapInArrow(_passage_windows(length), "w long, a int, doc_id long, c int, at int, copied boolean").withColumn("place", F.struct("doc_id", "c", "at"))
     firsts = firsts.groupBy("w", "a").agg(F.min("place").alias("first"), F.max("doc_id").alias("last"), F.max("copied").alias("copied"), F.count("*").alias("n")).filter("copied or first.doc_id < last")
