@@ -40,8 +40,9 @@ def top(k: int, source: str = "scored") -> str:
 
 METRICS = "count(*) as n_buckets, sum(size)::bigint as total, min(size) as min, max(size) as max, round(avg(size), 6) as mean, quantile_cont(size, 0.5) as median, round(stddev_pop(size), 6) as std, round(quantile_cont(size, 0.95), 6) as p95, round(quantile_cont(size, 0.99), 6) as p99, round(max(size) / avg(size), 6) as imbalance"
 
-VARIANTS = f"""{EMB}, moved as (select image_id as i, v, case when v = 0 then e else list_transform(e, lambda x, d: x + 0.02::double * v * (((i * 7919 + (d - 1) * 104729 + v * 1299709) % 2001) - 1000) / 1000::double) end as m from emb, (select unnest(range(0, 6)) as v) where image_id < 100),
+VARIANTS = f"""{EMB}, moved as (select image_id as i, v, case when v = 0 then e else list_transform(e, lambda x, d: x + 0.02::double * v * (((i * 7919 + (d - 1) * 104729 + v * 1299709) % 2001) - 1000) / 1000::double) end as m from emb, (select unnest(range(0, 6)) as v) where image_id % 50 = 0),
 variants as materialized (select 2000000 + 6 * i + v as image_id, 2000000 + 6 * i as base_id, v as variant, case when v = 0 then m else list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) end as e from moved),
+searched as (select image_id, e from variants union all select image_id, e from emb where image_id % 50 <> 0),
 truth as (select base_id as query_id, image_id as relevant_id from variants where variant > 0)"""
 
 BITS = "(list_sum(list_transform({0}, lambda b, i: case when b then (1::hugeint << (64 - i)::int) else 0::hugeint end)))"
@@ -85,7 +86,7 @@ def assign(places: str = "ring", name: str = "assigned") -> str:
 
 HOT = "hot as (select table_id, bucket_key from (select *, avg(size) over (partition by table_id) as mean from sizes) where size > 3 * mean)"
 SPLIT = f"{SIZES}, {HOT}, split as (select image_id, table_id, bucket_key, case when h.bucket_key is not null then bucket_key || lpad(bin(('0x' || substr(md5(table_id || ':' || bucket_key || ':' || image_id), 1, 2))::int % 16), 4, '0') else bucket_key end as store_key from keys left join hot h using (table_id, bucket_key))"
-SEARCH = f"{VARIANTS}, {proj(T, H)}, {keys('variants')}, {CAND}, scored as (select query_id, c.image_id, round({cosine('a.e', 'b.e')}, 6) + 0.0 as score from cand c join variants a on a.image_id = query_id and a.variant = 0 join variants b on b.image_id = c.image_id), results as ({top(20)}), queries as (select image_id as query_id from variants where variant = 0)"
+SEARCH = f"{VARIANTS}, {proj(T, H)}, {keys('searched')}, {CAND}, scored as (select query_id, c.image_id, round({cosine('a.e', 'b.e')}, 6) + 0.0 as score from cand c join variants a on a.image_id = query_id and a.variant = 0 join searched b on b.image_id = c.image_id), results as ({top(20)}), queries as (select image_id as query_id from variants where variant = 0)"
 PER_QUERY = "perq as (select q.query_id, k, (select count(*) from results r join truth t on t.query_id = r.query_id and t.relevant_id = r.image_id where r.query_id = q.query_id and r.rank <= k) as hits, (select count(*) from truth t where t.query_id = q.query_id) as n from queries q, (select unnest([1, 5, 10, 20]) as k))"
 
 
@@ -93,11 +94,11 @@ def sweep() -> str:
     out = [VARIANTS]
     for bits in sorted({h for _, h in GRID}):
         most = max(t for t, h in GRID if h == bits)
-        out += [proj(most, bits, f"p{bits}"), keys("variants", f"k{bits}", f"p{bits}")]
-        out.append(f"f{bits} as (select {bits} as hash_size, a.image_id as query_id, b.image_id, min(table_id) as first from k{bits} a join k{bits} b using (table_id, bucket_key) where a.image_id <> b.image_id and (a.image_id - 2000000) % 6 = 0 group by all)")
+        out += [proj(most, bits, f"p{bits}"), keys("searched", f"k{bits}", f"p{bits}")]
+        out.append(f"f{bits} as (select {bits} as hash_size, a.image_id as query_id, b.image_id, min(table_id) as first from k{bits} a join k{bits} b using (table_id, bucket_key) where a.image_id <> b.image_id and a.image_id in (select image_id from variants where variant = 0) group by all)")
     out.append("found as (" + " union all ".join(f"select * from f{h}" for h in sorted({h for _, h in GRID})) + ")")
     out.append("grid as (select * from (values " + ", ".join(f"({t}, {h})" for t, h in GRID) + ") g(num_tables, hash_size))")
-    out.append(f"ranked as (select num_tables, g.hash_size, f.query_id, f.image_id, row_number() over (partition by num_tables, g.hash_size, f.query_id order by round({cosine('a.e', 'b.e')}, 6) desc, f.image_id) as rank from found f join grid g on g.hash_size = f.hash_size and first < num_tables join variants a on a.image_id = f.query_id join variants b on b.image_id = f.image_id)")
+    out.append(f"ranked as (select num_tables, g.hash_size, f.query_id, f.image_id, row_number() over (partition by num_tables, g.hash_size, f.query_id order by round({cosine('a.e', 'b.e')}, 6) desc, f.image_id) as rank from found f join grid g on g.hash_size = f.hash_size and first < num_tables join variants a on a.image_id = f.query_id join searched b on b.image_id = f.image_id)")
     out.append("per as (select num_tables, hash_size, r.query_id, count(*) as n, count(*) filter (rank <= 1 and t.relevant_id is not null) as h1, count(*) filter (rank <= 5 and t.relevant_id is not null) as h5, count(*) filter (rank <= 10 and t.relevant_id is not null) as h10 from ranked r left join truth t on t.query_id = r.query_id and t.relevant_id = r.image_id group by all)")
     out.append("swept as materialized (select num_tables, hash_size, round(avg(coalesce(h1, 0)), 6) as precision_at_1, round(avg(coalesce(h5, 0) / 5), 6) as recall_at_5, round(avg(coalesce(h10, 0) / 10), 6) as precision_at_10, round(avg(coalesce(n, 0)), 6) as mean_candidates from grid cross join (select image_id as query_id from variants where variant = 0) left join per using (num_tables, hash_size, query_id) group by all)")
     out.append(f"configs as (select *, round({FIXED_MS} + mean_candidates * {MS_PER_CANDIDATE}, 6) as model_ms from swept)")
@@ -137,7 +138,7 @@ def oracles() -> dict[str, str]:
         "search_topk": w + posted() + f", {CAND}, {search} " + top(10),
         "search_unseen": w + f"{VARIANTS}, {proj(T, H)}, {keys()}, {keys('(select image_id, e from variants where variant > 0)', 'vkeys')}, cand as (select distinct a.image_id as query_id, b.image_id from vkeys a join keys b using (table_id, bucket_key)), scored as (select query_id, c.image_id, round({cosine('a.e', 'b.e')}, 6) + 0.0 as score from cand c join variants a on a.image_id = query_id join emb b on b.image_id = c.image_id) " + top(10),
         "knn_exact": w + f"{EMB}, scored as (select a.image_id as query_id, b.image_id, round({cosine('a.e', 'b.e')}, 6) + 0.0 as score from emb a join emb b on a.image_id <> b.image_id where a.image_id % 50 = 0) " + top(10),
-        "batch_lookup": w + f"{EMB} select image_id, round(e[1], 6) as first from emb where image_id < 1000 and image_id % 7 = 0",
+        "batch_lookup": w + f"{EMB} select image_id, round(e[1], 6) as first from emb where image_id % 50 = 0",
         "path_map": "select e.vec_id as image_id, coalesce(p.url, 'unknown_id_' || e.vec_id) as path from embeddings e left join pages p on p.page_id = e.vec_id",
         "normalize_l2": w + f"{EMB}, n as (select image_id, e, {NORM.format('e')} as n from emb) select image_id, round(n, 6) as norm_before, round(case when n > 1e-8 then 1.0 else n end, 6) as norm_after, round(case when n > 1e-8 then e[1] / n else e[1] end, 6) as first, round(e[2] / greatest(n, 1e-8), 6) as second from n",
         "cosine_pairs": w + f"{EMB}, x as (select image_id, e as f from emb), {NEXT} select a_id, b_id, round({cosine('a', 'b')}, 6) as cosine, round(list_dot_product(a, b) / ({NORM.format('a')} * {NORM.format('b')} + 1e-8), 6) as cosine_eps from pairs",

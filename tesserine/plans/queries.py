@@ -41,7 +41,7 @@ def _neighbours(rows: DataFrame) -> DataFrame:
 def _variant_search(spark, sf_dir, k: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
     e = tables.embeddings(spark, sf_dir)
     v, truth = tables.variants(e), tables.truth(e)
-    rows = v.select("image_id", "embedding")
+    rows = tables.searched(e)
     queries = v.filter("variant = 0").select(F.col("image_id").alias("query_id"))
     posted = _posted(rows)
     found = lsh.candidates(posted.join(queries.withColumnRenamed("query_id", "image_id"), "image_id", "left_semi"), posted)
@@ -140,8 +140,9 @@ def knn_exact(spark, d):
 
 @query
 def batch_lookup(spark, d):
-    """The rows of some ids; ids that aren't there give nothing."""
-    ids = spark.range(0, 1000, 7).withColumnRenamed("id", "image_id")
+    """The rows of the ids divisible by 50; ids that aren't there give nothing."""
+    own = tables.embeddings(spark, d).select("image_id")
+    ids = own.filter(F.col("image_id") % tables.EVERY == 0).union(own.select(-1 - F.col("image_id")))
     return tables.point_lookup(tables.embeddings(spark, d), ids, "embedding").select("image_id", F.round(F.element_at("embedding", 1), 6).alias("first"))
 
 
@@ -370,7 +371,7 @@ def micro_pr(spark, d):
 def _sweep(spark, d):
     e = tables.embeddings(spark, d)
     v = tables.variants(e)
-    return evaluate.sweep(spark, v.select("image_id", "embedding"), v.filter("variant = 0").select(F.col("image_id").alias("query_id")), tables.truth(e), DIM)
+    return evaluate.sweep(spark, tables.searched(e), v.filter("variant = 0").select(F.col("image_id").alias("query_id")), tables.truth(e), DIM)
 
 
 @query

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tesserine.functions import hashes, vectors
 from tesserine.sources import storage
 
-FIRST_VARIANT, BASES = 2_000_000, 100
+#: Images whose id is divisible by EVERY are the query set.
+FIRST_VARIANT, EVERY = 2_000_000, 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,13 +76,18 @@ def features(rows: DataFrame) -> DataFrame:
 def variants(rows: DataFrame) -> DataFrame:
     """Bases and five near duplicates of each, (image_id, base_id, variant, embedding)."""
     noise = lambda x, d: x + F.lit(0.02) * F.col("variant") * (((F.col("image_id") * 7919 + d * 104729 + F.col("variant") * 1299709) % 2001) - 1000) / F.lit(1000.0)
-    v = rows.filter(F.col("image_id") < BASES).withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    v = rows.filter(F.col("image_id") % EVERY == 0).withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(5))))
     v = v.withColumn("moved", F.when(F.col("variant") == 0, F.col("embedding")).otherwise(F.transform("embedding", noise)))
     v = v.withColumn("moved", F.when(F.col("variant") == 0, F.col("moved")).otherwise(vectors.l2_normalize(F.col("moved"))))
     base = FIRST_VARIANT + 6 * F.col("image_id")
     return v.select((base + F.col("variant")).alias("image_id"), base.alias("base_id"), "variant", F.col("moved").alias("embedding"))
 
 
+def searched(rows: DataFrame) -> DataFrame:
+    """(image_id, embedding) of the variants and of all images that aren't bases."""
+    return variants(rows).select("image_id", "embedding").union(rows.filter(F.col("image_id") % EVERY != 0).select("image_id", "embedding"))
+
+
 def truth(rows: DataFrame) -> DataFrame:
     return variants(rows).filter("variant > 0").select(F.col("base_id").alias("query_id"), F.col("image_id").alias("relevant_id"))
 
