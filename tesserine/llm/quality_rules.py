@@ -41,22 +41,34 @@ RULES = {
 }
 BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 
-#: Words in 3-word windows that come twice or more. Windows are hashed with their place in the low 24 bits, so equal ones
-#: are neighbours once sorted; neighbours are compared by the whole hash. transform(array(x), v -> ...)[0] binds v to x.
-_REPEATED = """
+#: Bits that a window's place takes in the fast way of repeated().
+PLACE_BITS = 24
+
+
+def repeated(bits: int = PLACE_BITS) -> str:
+    """Words in 3-word windows that come twice or more, as an expression on ``words``.
+
+    The fast way sorts numbers, hashes whose low bits give way to the place, so that equal windows are neighbours and are
+    compared by the whole hash. Where two neighbours agree in the high bits alone, or places need more bits, pairs of whole
+    hash and place are sorted instead. transform(array(x), v -> ...)[0] binds v to x.
+    """
+    low, high = (1 << bits) - 1, -(1 << bits)
+    count = "aggregate(sort_array({0}), named_struct('n', 0L, 'last', -3L), (a, x) -> named_struct('n', a.n + least(3L, x - a.last), 'last', x), a -> a.n)"
+    place = lambda j: f"int(s[{j}] & {low}L)"
+    near = lambda j: f"((x ^ s[{j}]) & {high}L) = 0"
+    before, after = "greatest(j - 1, 0)", "least(j + 1, size(s) - 1)"
+    fast = count.format(f"transform(filter(s, (x, j) -> (j > 0 and {near(before)}) or (j < size(s) - 1 and {near(after)})), x -> x & {low}L)")
+    mixed = f"exists(transform(s, (x, j) -> j > 0 and {near(before)} and h[int(x & {low}L)] <> h[{place(before)}]), x -> x)"
+    pairs = "sort_array(transform(h, (x, i) -> named_struct('h', x, 'i', bigint(i))))"
+    whole = count.format(f"transform(filter(p, (x, j) -> (j > 0 and x.h = p[{before}].h) or (j < size(p) - 1 and x.h = p[least(j + 1, size(p) - 1)].h)), x -> x.i)")
+    whole = f"transform(array({pairs}), p -> {whole})[0]"
+    return f"""
 transform(array(words), w -> if(size(w) < 3, 0L,
   transform(array(transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2]))), h ->
     if(size(array_distinct(h)) = size(h), 0L,
-      transform(array(sort_array(transform(h, (x, i) -> (x & -16777216L) | i))), s ->
-        aggregate(
-          sort_array(transform(
-            filter(s, (x, j) ->
-              (j > 0 and ((x ^ s[greatest(j - 1, 0)]) & -16777216L) = 0 and h[int(x & 16777215L)] = h[int(s[greatest(j - 1, 0)] & 16777215L)])
-              or (j < size(s) - 1 and ((x ^ s[least(j + 1, size(s) - 1)]) & -16777216L) = 0 and h[int(x & 16777215L)] = h[int(s[least(j + 1, size(s) - 1)] & 16777215L)])),
-            x -> x & 16777215L)),
-          named_struct('n', 0L, 'last', -3L),
-          (a, x) -> named_struct('n', a.n + least(3L, x - a.last), 'last', x),
-          a -> a.n))[0]))[0]))[0]
+      if(size(h) > {low}, {whole},
+        transform(array(sort_array(transform(h, (x, i) -> (x & {high}L) | i))), s ->
+          if({mixed}, {whole}, {fast}))[0])))[0]))[0]
 """
 
 
@@ -79,7 +91,7 @@ def features(docs: DataFrame) -> DataFrame:
                 "n_shouts": F.expr("length(regexp_replace(__t, '[^!]+', ''))").cast("long"),
                 "n_lines": F.size("__l").cast("long"),
                 "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
-                "n_repeat_words": F.expr(_REPEATED).cast("long"),
+                "n_repeat_words": F.expr(repeated()).cast("long"),
             }
         )
         .drop("__t", "__l", "words")
