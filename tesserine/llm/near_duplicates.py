@@ -51,6 +51,8 @@ BANDS = COORDINATES // ROWS_IN_BAND
 EMPTY = U(2**64 - 1)
 #: Bits of 128 that may differ in two sketches; a pair at 0.8 differs in 13 on average with a deviation of 3.4.
 MOST_BITS = 33
+#: Members of a centre that one task is meant to meet; a centre of more is dealt over several.
+MEMBERS = 256
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -216,7 +218,8 @@ def _linked(spark: SparkSession, texts: DataFrame, shingle: int, similarity: int
     """The same, where rows with one doc_id have one text."""
     all_rows = shared.cut(spark, texts.mapInArrow(_sketched(shingle), "doc_id long, content long, n_shingles long, k0 long, k1 long, b0 long, b1 long, bands array<long>"))
     # equal sets are one class, named by its smallest doc_id
-    classes = all_rows.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "k0", "k1").agg(F.min("doc_id").alias("id"))
+    classes = all_rows.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "k0", "k1").agg(F.min("doc_id").alias("id"), F.ceil(F.count("*") / MEMBERS).cast("int").alias("copies"))
+    classes = shared.cut(spark, classes)
     heads = all_rows.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     entries = heads.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band"))
     busy = entries.groupBy("band").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count("*").alias("size")).filter("x < y").select("band", "size")
@@ -229,9 +232,9 @@ def _linked(spark: SparkSession, texts: DataFrame, shingle: int, similarity: int
         sets = shared.cut(spark, texts.filter("doc_id is not null").select("doc_id", "text").mapInArrow(_sets(shingle, wanted), "id long, set binary").join(nodes.select("id"), "id", "left_semi").dropDuplicates(["id"]))
         parts = _components(spark, entries, nodes, sets, similarity, rounds)
     found = classes.withColumn("component", F.col("id")) if parts is None else classes.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    same = ("n_shingles", "k0", "k1")
     return (
-        all_rows.select("doc_id", "n_shingles", "k0", "k1", "content")
-        .join(found.select("n_shingles", "k0", "k1", "component"), ["n_shingles", "k0", "k1"], "left")
+        _beside(all_rows.select("doc_id", *same, "content"), found.select(*same, "component"), classes.select(*same, "copies"), same, "doc_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "content")
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
         .withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
@@ -244,17 +247,33 @@ def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(mix(batch.column(0).to_numpy().view(np.uint64)).view(np.int64))], ["k"])
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Pairs (c, id) with what _verified() says of their full sets."""
-    full = pairs.join(sets.withColumnRenamed("set", "t"), "id").join(sets.select(F.col("id").alias("c"), F.col("set").alias("s")), "c").select("c", "id", "s", "t")
-    return full.mapInArrow(_verified(similarity), "c long, id long, c_n long, n long, both long, linked boolean, extra array<long>")
+def _centres(spark: SparkSession, pairs: DataFrame) -> DataFrame:
+    """(c, copies): in how many parts the members of each centre are dealt."""
+    return shared.cut(spark, pairs.groupBy("c").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("copies")))
+
+
+def _beside(rows: DataFrame, values: DataFrame, copies: DataFrame, on: tuple[str, ...] = ("c",), by: str = "id", how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``values`` on some keys; the rows of a key are dealt over its ``copies`` by another column."""
+    keys = list(on)
+    dealt = rows.join(copies.filter("copies > 1"), keys, "left").withColumn("salt", F.expr(f"cast(pmod(xxhash64({by}), coalesce(copies, 1)) as int)")).drop("copies")
+    copied = values.join(copies, keys).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    return dealt.join(copied, [*keys, "salt"], how).drop("salt")
+
+
+def _compared(spark: SparkSession, pairs: DataFrame, sets: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (c, id) with what _verified() says of their full sets, and the copies of each c."""
+    pairs = shared.cut(spark, pairs)
+    centres = _centres(spark, pairs)
+    full = _beside(pairs.join(sets.withColumnRenamed("set", "t"), "id"), sets.select(F.col("id").alias("c"), F.col("set").alias("s")), centres).select("c", "id", "s", "t")
+    return full.mapInArrow(_verified(similarity), "c long, id long, c_n long, n long, both long, linked boolean, extra array<long>"), centres
 
 
 def _components(spark: SparkSession, entries: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: int, rounds: int) -> DataFrame | None:
     placed = entries.join(nodes.select("id", "weight"), "id").select("band", "id", "weight")
     centres = placed.groupBy("band").agg(F.max(F.struct("weight", "id")).alias("c")).select("band", F.col("c.id").alias("c"))
     first = entries.select("band", "id").join(centres, "band").filter("c <> id").select("c", "id").distinct()
-    stars = shared.cut(spark, _compared(first, sets, similarity))
+    stars, members = _compared(spark, first, sets, similarity)
+    stars = shared.cut(spark, stars)
     parts = _joined(spark, stars.filter("linked").select(F.col("c").alias("a"), F.col("id").alias("b")), None)
     # whoever still stands apart gets a centre of its own kind, if the sketches allow a link
     for _ in range(rounds):
@@ -265,30 +284,31 @@ def _components(spark: SparkSession, entries: DataFrame, nodes: DataFrame, sets:
         others = here.join(main, "band")
         centre = others.filter("part <> main").groupBy("band").agg(F.max(F.struct("weight", "id", "part")).alias("c")).select("band", F.col("c.id").alias("c"), F.col("c.part").alias("c_part"))
         pairs = others.filter("part <> main").join(centre, "band").filter("part <> c_part").select("c", "id").distinct()
-        links = shared.cut(spark, _compared(_likely(pairs, nodes, similarity), sets, similarity).filter("linked").select(F.col("c").alias("a"), F.col("id").alias("b")))
+        links = shared.cut(spark, _compared(spark, _likely(pairs, nodes, similarity), sets, similarity)[0].filter("linked").select(F.col("c").alias("a"), F.col("id").alias("b")))
         if links.isEmpty():
             break
         parts = _joined(spark, links, parts)
     # all pairs left that can be linked: see above
     known = _with_part(stars.select("c", "id", "c_n", "n", "both", "extra"), parts)
-    known = known.join(_with_part(nodes.select("id"), parts).select(F.col("id").alias("c"), F.col("part").alias("c_part")), "c")
+    known = _beside(known, _with_part(members.select(F.col("c").alias("id")), parts).select(F.col("id").alias("c"), F.col("part").alias("c_part")), members)
     fringe = shared.cut(spark, known.filter("part <> c_part").select("c", "id", "part", "n", "both", "extra"))
     if fringe.isEmpty():
         return parts
-    known = known.join(fringe.select("c").distinct(), "c", "left_semi").select("c", "id", "part", "n", "c_n", "both", "extra")
+    known = _beside(known, fringe.select("c").distinct(), members).select("c", "id", "part", "n", "c_n", "both", "extra")
     known = known.withColumn("class", F.floor(F.log("n") / math.log(1.05)).cast("int"))
     x = known.select("c", "id", "part", "class", F.explode("extra").alias("shingle"))
     common = x.groupBy("c", "shingle").agg(F.count("*").alias("times"))
     rare = fringe.select("c", F.col("id").alias("f"), F.col("part").alias("f_part"), F.explode("extra").alias("shingle")).join(common, ["c", "shingle"])
     rare = rare.withColumn("k", F.row_number().over(Window.partitionBy("c", "f").orderBy("times", "shingle"))).filter("times > 1")
     classes = known.groupBy("c", "class").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    needed = fringe.select("c", F.col("id").alias("f"), F.col("n").alias("f_n"), F.col("both").alias("f_both"), F.size("extra").alias("m")).join(classes, "c").filter(f"100 * high >= {similarity} * f_n and 100 * f_n >= {similarity} * low")
+    needed = fringe.select("c", F.col("id").alias("f"), F.col("n").alias("f_n"), F.col("both").alias("f_both"), F.size("extra").alias("m"))
+    needed = _beside(needed.withColumn("id", F.col("f")), classes, members).filter(f"100 * high >= {similarity} * f_n and 100 * f_n >= {similarity} * low")
     needed = needed.withColumn("need", F.expr(f"ceil({similarity} * (f_n + low) / {100 + similarity}.0D) - f_both")).select("c", "f", "class", F.expr("if(need <= 0, m, m - need + 1)").alias("first"))
     sharing = rare.join(needed, ["c", "f"]).filter("k <= first").join(x, ["c", "class", "shingle"]).filter("part <> f_part").select("f", "id").distinct()
     small = known.filter(f"n < c_n and {100 + similarity} * both >= {similarity} * n").select("c", "id", "part", "n", "both")
     small = fringe.select("c", F.col("id").alias("f"), F.col("part").alias("f_part"), F.col("n").alias("f_n"), F.col("both").alias("f_both")).join(small, "c").filter(f"part <> f_part and {100 + similarity} * least(both, f_both) >= {similarity} * (n + f_n)").select("f", "id")
     pairs = sharing.union(small).select(F.least("f", "id").alias("c"), F.greatest("f", "id").alias("id")).distinct()
-    links = shared.cut(spark, _compared(_likely(pairs, nodes, similarity), sets, similarity).filter("linked").select(F.col("c").alias("a"), F.col("id").alias("b")))
+    links = shared.cut(spark, _compared(spark, _likely(pairs, nodes, similarity), sets, similarity)[0].filter("linked").select(F.col("c").alias("a"), F.col("id").alias("b")))
     return parts if links.isEmpty() else _joined(spark, links, parts)
 
 

@@ -144,8 +144,10 @@ def test_rows_with_one_doc_id(spark):
     assert got == [(1, 1, True), (5, 1, False), (5, 5, True), (7, 5, False), (9, 9, True)]
 
 
-def test_near_duplicates_in_families(spark):
-    """Edits of edits: centres miss links that the rest has to find."""
+@pytest.mark.parametrize("members", [near_duplicates.MEMBERS, 5])
+def test_near_duplicates_in_families(spark, monkeypatch, members):
+    """Edits of edits: centres miss links that the rest has to find; with few members a task, centres are dealt over several."""
+    monkeypatch.setattr(near_duplicates, "MEMBERS", members)
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(3000)]
     rows, k = {}, 0
@@ -496,6 +498,22 @@ def test_quality_rules_equal_sql(spark):
     assert sorted(map(repr, (tuple(r[c] for c in columns) for r in ours.collect()))) == sorted(map(repr, theirs.fetchall()))
 
 
+@pytest.mark.parametrize("bits", [24, 31, 3, 61])
+def test_repeated_windows(spark, bits):
+    """Whatever is left of the hash beside the places, windows that come twice are all found."""
+    rng = np.random.default_rng(5)
+    rows = [(k, " ".join(rng.choice(list("abcdefgh"), n))) for k, n in enumerate([0, 1, 2, 3, 4, 5, 6, 7, 9, 12, 20, 60, 200, 400])]
+    rows += [(100, " ".join(f"w{i}" for i in range(300))), (101, "a b c " * 40), (102, " ".join([*map(str, range(50)), *map(str, range(25))]))]
+    df = of_texts(spark, rows).withColumn("words", F.expr("filter(split(text, ' '), x -> x <> '')"))
+    got = {r["doc_id"]: r["n"] for r in df.selectExpr("doc_id", f"{quality_rules.repeated(bits)} as n").collect()}
+    for k, text in rows:
+        w = text.split()
+        at = {}
+        for i in range(len(w) - 2):
+            at.setdefault(tuple(w[i : i + 3]), []).append(i)
+        assert got[k] == len({i + j for places in at.values() if len(places) > 1 for i in places for j in range(3)})
+
+
 def test_quality_rules_against_labels(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = quality_rules.judged(spark, docs).withColumnRenamed("quality", "p").join(labels, "doc_id").collect()
