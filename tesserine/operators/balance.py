@@ -54,6 +54,12 @@ def hotspots(bucket_sizes: DataFrame, times: float = 3.0, most: int = 20) -> Dat
     return hot.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most).select("table_id", "rank", "bucket_key", "size", F.round(F.col("size") / F.col("mean"), 6).alias("ratio"))
 
 
+def by_table(bucket_sizes: DataFrame, times: float = 3.0) -> DataFrame:
+    """Of each table its buckets, postings, hot buckets and the share of postings in them."""
+    hot = F.col("size") > times * F.col("mean")
+    return with_mean(bucket_sizes).groupBy("table_id").agg(F.count("*").alias("n_buckets"), F.sum("size").alias("total"), F.max("size").alias("max"), F.count_if(hot).alias("n_hot"), F.round(F.sum(F.when(hot, F.col("size")).otherwise(0)) / F.sum("size"), 6).alias("hot_share"))
+
+
 def coldspots(bucket_sizes: DataFrame, under: int = 10) -> DataFrame:
     """P4."""
     return bucket_sizes.filter(F.col("size") < under).select("table_id", "bucket_key", "size")

@@ -47,3 +47,10 @@ def error(rows: DataFrame) -> DataFrame:
     cos = F.abs(1 - vectors.cosine(F.col("embedding"), F.col("half")))
     each = both.select(l2.alias("l2"), cos.alias("cos"))
     return each.agg(F.count("*").alias("n"), F.round(F.avg("l2"), 8).alias("mean_l2"), F.round(F.max("l2"), 8).alias("max_l2"), F.round(F.expr("percentile(l2, 0.99D)"), 8).alias("p99_l2"), F.round(F.avg("cos"), 8).alias("mean_cosine_error"))
+
+
+def similarity(pairs: DataFrame) -> DataFrame:
+    """(a_id, b_id, half, error): the cosine of two vectors as stored in half precision, and how far it is from that of the vectors (a, b)."""
+    half = lambda c: F.transform(c, vectors.half_precision)
+    stored, true = vectors.cosine(half(F.col("a")), half(F.col("b"))), vectors.cosine(F.col("a"), F.col("b"))
+    return pairs.select("a_id", "b_id", F.round(stored, 6).alias("half"), F.round(F.abs(stored - true), 6).alias("error"))

@@ -64,6 +64,11 @@ def sweep(spark: SparkSession, rows: DataFrame, queries: DataFrame, truth: DataF
     return out.withColumn("model_ms", F.round(FIXED_MS + F.col("mean_candidates") * MS_PER_CANDIDATE, 6))
 
 
+def ordered(configs: DataFrame) -> DataFrame:
+    """Configurations with their place by recall at 5, then by latency; there are as many as the grid has."""
+    return configs.withColumn("place", F.row_number().over(Window.orderBy(F.desc("recall_at_5"), "model_ms", "num_tables", "hash_size")))
+
+
 def pareto(configs: DataFrame) -> DataFrame:
     """Configurations that none beats in one of latency and recall and equals in the other."""
     a, b = configs.alias("a"), configs.alias("b")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,16 @@ def ring(spark: SparkSession, nodes: list[str], virtual: int = VIRTUAL) -> DataF
     return names.select(hashes.ring_position(F.concat("node", F.lit("_virtual_"), "i")).alias("position"), "node")
 
 
+def to_json(places: DataFrame) -> str:
+    """The ring as a JSON object from position to node; it has nodes x virtual entries, whatever the keys."""
+    return json.dumps({str(r["position"]): r["node"] for r in places.orderBy("position", "node").collect()})
+
+
+def from_json(spark: SparkSession, text: str) -> DataFrame:
+    """The ring that to_json() wrote."""
+    return spark.createDataFrame([(int(position), node) for position, node in json.loads(text).items()], "position long, node string")
+
+
 def assigned(keys: DataFrame, places: DataFrame) -> DataFrame:
     """The node of the first place at or after each key's position, around the end. Places are few (nodes x virtual)."""
     order = Window.orderBy("position", "node")

@@ -49,9 +49,9 @@ def verify(rows: DataFrame, posted: DataFrame, tables: int, bits: int, dim: int)
 
 
 def latest(features: DataFrame) -> DataFrame:
-    """Of rows appended for one image, the last by ingest time."""
-    newest = Window.partitionBy("image_id").orderBy(F.desc("ingested"))
-    return features.withColumn("k", F.row_number().over(newest)).filter("k = 1").drop("k")
+    """Of rows appended for one image, the last by ingest time (of equal times, any)."""
+    newest = features.groupBy("image_id").agg(F.max_by(F.struct(*features.columns), "ingested").alias("row"))
+    return newest.select("row.*")
 
 
 def merge_packs(packs: list[DataFrame]) -> DataFrame:

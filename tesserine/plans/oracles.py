@@ -122,6 +122,7 @@ def oracles() -> dict[str, str]:
     order = "case " + " ".join(f"when num_tables = {t} and hash_size = {h} then {i}" for i, (t, h) in enumerate(GRID)) + " end"
     config = ", ".join(f"('{k}', {v}::bigint)" for k, v in vars(LSHConfig()).items())
     x_hash = f"{EMB}, {features('emb')}, x as (select image_id, features as f from features), {NEXT}"
+    by_table = "by_table as (select table_id, count(*) as n_buckets, sum(size)::bigint as total, max(size) as max, count(*) filter (size > 3 * mean) as n_hot, round(sum(case when size > 3 * mean then size else 0 end) / sum(size), 6) as hot_share from (select *, avg(size) over (partition by table_id) as mean from sizes) group by table_id)"
     insert = f"{EMB}, {proj(T, H)}, {BATCH}, {REASONS}, {keys('good')}"
     return {
         "lsh_keys": w + posted() + " select * from keys",
@@ -193,6 +194,17 @@ def oracles() -> dict[str, str]:
         "data_validation": w + f"{EMB} select unnest(['ids_unique', 'ids_dense', 'dimension', 'zero_rate', 'table_totals', 'id_sets_equal']) as name, unnest([count(*) = count(distinct image_id), max(image_id) - min(image_id) + 1 = count(*), bool_and(len(e) = {DIM}), count(*) filter (list_max(e) = 0 and list_min(e) = 0) <= 0.05 * count(*), true, true]) as passed from emb",
         "config_roundtrip": f"select * from (values {config}) t(name, value)",
         "postings_roundtrip": w + f"{EMB}, {BATCH}, {REASONS} select t::int as table_id, (select count(*) from emb) + (select count(*) from good) as n, (select count(*) from emb) + (select count(*) from good) as n_images from (select unnest(range(0, {T})) as t)",
+        "postings_by_table": w + posted() + " select * from keys",
+        "feature_packs": w + f"{EMB}, {features('emb')} select image_id, (image_id % 4)::int as pack, phash, round(list_sum(hist), 6) as mass, round(e[1], 6) as first from features",
+        "feature_upsert": w + f"{EMB} select image_id, (image_id % 50 = 0)::int as ingested, round(case when image_id % 50 = 0 then e[{DIM}] else e[1] end, 6) as first from emb",
+        "split_keys": w + posted() + f", {SPLIT} select table_id, bucket_key, count(*) as size, count(*) as stored, count(distinct store_key) as parts from split where store_key <> bucket_key group by all",
+        "balance_by_table": w + posted() + f", {SIZES}, {by_table} select * from by_table",
+        "report_json": w + posted() + f", {SIZES}, {by_table} select * from by_table",
+        "curve_csv": w + f"{SEARCH}, {PER_QUERY} select k, round(avg(hits / k), 6) as precision, round(avg(hits / n), 6) as recall from perq group by k",
+        "projections_roundtrip": w + f"{proj(T, H)} select table_id, bit, round(w[1], 6) as first, round(w[{DIM}], 6) as last from proj",
+        "ring_roundtrip": w + f"{EMB}, {ring(NODES)}, {assign()} select r.node, count(a.key) as n from (select distinct node from ring) r left join assigned a using (node) group by all",
+        "sorted_configs": w + swept + " select row_number() over (order by recall_at_5 desc, model_ms, num_tables, hash_size) as place, num_tables, hash_size, recall_at_5, model_ms from configs",
+        "f16_similarity": w + f"{EMB}, x as (select image_id, e as f from emb), {NEXT}, h as (select a_id, b_id, a, b, list_transform(a, lambda x: {HALF}) as ha, list_transform(b, lambda x: {HALF}) as hb from pairs) select a_id, b_id, round({cosine('ha', 'hb')}, 6) as half, round(abs({cosine('ha', 'hb')} - {cosine('a', 'b')}), 6) as error from h",
         "sample_rows": "select vec_id as image_id from embeddings order by md5('42:' || vec_id), vec_id limit 50",
         "benchmark_queries": "select vec_id as image_id from embeddings order by md5('42:' || vec_id), vec_id limit 200",
         "test_store": w + f"{EMB} select doc_id as image_id, round(coalesce({NORM.format('e')}, 0.0), 6) as norm from documents left join emb on image_id = doc_id",

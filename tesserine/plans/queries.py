@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -539,8 +538,7 @@ def ground_truth_json(spark, d):
 
 
 def _scratch(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tesserine-checkpoints"
-    return f"{base}/scratch/{uuid.uuid4().hex}"
+    return f"{storage.shared_folder(spark)}/scratch/{uuid.uuid4().hex}"
 
 
 @query
@@ -553,6 +551,87 @@ def postings_roundtrip(spark, d):
     return shots.read().groupBy("table_id").agg(F.count("*").alias("n"), F.countDistinct("image_id").alias("n_images"))
 
 
+@query
+def postings_by_table(spark, d):
+    """Postings in a folder for each table, read back."""
+    path = f"{_scratch(spark)}/tables"
+    storage.write_postings(_posted(tables.embeddings(spark, d)), path)
+    return spark.read.parquet(path).select("image_id", F.col("table_id").cast("int").alias("table_id"), F.col("bucket_key").cast("string").alias("bucket_key"))
+
+
+@query
+def feature_packs(spark, d):
+    """Vectors and features in a folder for each pack, read back."""
+    path = f"{_scratch(spark)}/features"
+    storage.write_features(tables.features(tables.embeddings(spark, d)).withColumn("pack", F.pmod("image_id", F.lit(4))), path)
+    back = spark.read.parquet(path)
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x), 6)
+    return back.select("image_id", F.col("pack").cast("int").alias("pack"), "phash", total("hist").alias("mass"), F.round(F.element_at("embedding", 1), 6).alias("first"))
+
+
+@query
+def feature_upsert(spark, d):
+    """Newer rows of the ids divisible by 50 are appended; reading takes the newest."""
+    e = tables.embeddings(spark, d).withColumn("ingested", F.lit(0))
+    newer = e.filter(F.col("image_id") % tables.EVERY == 0).withColumns({"embedding": F.reverse("embedding"), "ingested": F.lit(1)})
+    return updates.latest(e.union(newer)).select("image_id", "ingested", F.round(F.element_at("embedding", 1), 6).alias("first"))
+
+
+@query
+def split_keys(spark, d):
+    """Balanced tables and the keys that were split, written and read back."""
+    path = f"{_scratch(spark)}/balanced"
+    storage.write_split(storage.cut(spark, balance.split(_posted(tables.embeddings(spark, d)))), path)
+    held = spark.read.parquet(f"{path}/postings").groupBy(F.col("table_id").cast("int").alias("table_id"), F.col("bucket_key").cast("string").alias("bucket_key")).agg(F.count("*").alias("stored"))
+    return spark.read.parquet(f"{path}/split_keys").join(held, ["table_id", "bucket_key"]).select("table_id", "bucket_key", "size", "stored", "parts")
+
+
+@query
+def balance_by_table(spark, d):
+    return balance.by_table(_sizes(spark, d))
+
+
+@query
+def report_json(spark, d):
+    """The report of each table as JSON, read back."""
+    path = f"{_scratch(spark)}/report"
+    storage.write_report(balance.by_table(_sizes(spark, d)), path)
+    return spark.read.schema("table_id int, n_buckets long, total long, max long, n_hot long, hot_share double").json(path)
+
+
+@query
+def curve_csv(spark, d):
+    """Precision and recall by k as CSV, read back."""
+    path = f"{_scratch(spark)}/curve"
+    storage.write_curve(evaluate.macro(evaluate.per_query(*_variant_search(spark, d))), path)
+    return spark.read.schema("k int, precision double, recall double").csv(path, header=True)
+
+
+@query
+def projections_roundtrip(spark, d):
+    """The hyperplanes of the index written and read back."""
+    path = f"{_scratch(spark)}/projections"
+    lsh.projection_rows(spark, T, H, DIM).write.parquet(path)
+    return spark.read.parquet(path).select("table_id", "bit", F.round(F.element_at("w", 1), 6).alias("first"), F.round(F.element_at("w", DIM), 6).alias("last"))
+
+
+@query
+def ring_roundtrip(spark, d):
+    """Keys by a ring that went through its JSON."""
+    return ring.load(_ring_keys(spark, d), ring.from_json(spark, ring.to_json(ring.ring(spark, NODES))))
+
+
+@query
+def sorted_configs(spark, d):
+    """W8."""
+    return evaluate.ordered(_sweep(spark, d)).select("place", "num_tables", "hash_size", "recall_at_5", "model_ms")
+
+
+@query
+def f16_similarity(spark, d):
+    return codec.similarity(_neighbours(tables.embeddings(spark, d)))
+
+
 @query
 def sample_rows(spark, d):
     """A sample is the feature here: 50 ids in the order of a hash."""

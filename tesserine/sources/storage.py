@@ -8,10 +8,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a folder under /tmp in a local session and an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return folder or "file:///tmp/tesserine-checkpoints"
+
+
 def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in spark.checkpoint.dir (tests: one under /tmp) and read again; it goes when the application ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tesserine-checkpoints"
-    path = f"{base}/tesserine/{uuid.uuid4().hex}"
+    """``df`` written to the folder of shared_folder() and read again; it goes when the application ends."""
+    path = f"{shared_folder(spark)}/tesserine/{uuid.uuid4().hex}"
     df.write.parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
@@ -35,8 +42,8 @@ def numbered(spark: SparkSession, df: DataFrame, *order: Column | str, name: str
 
 
 def write_postings(postings: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One folder a table, so that lookups prune by table_id."""
-    postings.repartition("table_id").write.mode(mode).partitionBy("table_id").parquet(path)
+    """One folder a table, so that lookups prune by table_id; a table is dealt over tasks and files by ranges of keys."""
+    postings.repartitionByRange("table_id", "bucket_key").write.mode(mode).partitionBy("table_id").parquet(path)
 
 
 def write_features(features: DataFrame, path: str, pack: str = "pack") -> None:
@@ -44,6 +51,13 @@ def write_features(features: DataFrame, path: str, pack: str = "pack") -> None:
     features.write.mode("overwrite").option("compression", "zstd").partitionBy(pack).parquet(path)
 
 
+def write_split(stored: DataFrame, path: str) -> None:
+    """Split postings by table, and beside them the table of the keys that were split."""
+    stored.repartitionByRange("table_id", "store_key").write.mode("overwrite").partitionBy("table_id").parquet(f"{path}/postings")
+    keys = stored.filter("store_key <> bucket_key").groupBy("table_id", "bucket_key").agg(F.count("*").alias("size"), F.countDistinct("store_key").alias("parts"))
+    keys.write.mode("overwrite").parquet(f"{path}/split_keys")
+
+
 def write_report(rows: DataFrame, path: str) -> None:
     """One JSON document a row."""
     rows.write.mode("overwrite").json(path)
