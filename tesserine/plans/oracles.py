@@ -211,5 +211,6 @@ def oracles() -> dict[str, str]:
         "engine_batch": w + posted() + f", {MATCH}, cand as (select distinct query_id, image_id from match where query_id % 50 = 0), {search} " + top(10),
         "stream_insert": w + posted() + " select * from keys",
         "stream_search": w + posted() + f", {CAND}, {search}, t as ({top(10)}) select * from t where query_id % 50 = 0",
+        "stream_cache": w + LRU + " select count(*) as n, count(*) filter (hit) as hits from replay",
         "stream_latency": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as start, count(*) as n, round(avg(value), 6) as mean_ms from events group by 1",
     }
