@@ -7,7 +7,9 @@ a layer of its own and put on the worklist. Equal encoded bytes are decoded once
 a text, which ends cycles, and count wherever they stand; a decoded layer is
 never longer than its parent but for compressed data. All members of that are read to
 their end, CHUNK bytes at a time, and scanned in pieces that end where no secret or
-encoded stretch can go on; a longer stretch without such a place is held whole. A layer of
+encoded stretch can go on; a longer stretch without such a place is held whole. What was
+compressed more than once is unfolded layer by layer until nothing is compressed or a
+layer comes again; a folded layer of more than CHUNK bytes waits in a temporary file. A layer of
 replaced escapes keeps, for each of its characters, the stretch of the original text
 that it came from, and base64 is one stretch whatever it holds, so a secret found at
 any depth is reported where it stands in the text.
@@ -15,7 +17,7 @@ any depth is reported where it stands in the text.
 Base spans are those of the text itself and always stay.
 
 Edge cases: a null text is empty and has no spans. Rows are scanned one by one;
-repeated rows repeat their result. Stretches that decode to no text are skipped.
+repeated rows repeat their result. Bytes that aren't UTF-8 end whatever stands before them.
 Only doc_id and text are looked at.
 """
 
@@ -27,11 +29,15 @@ import bz2
 import codecs
 import hashlib
 import html
+import io
+import itertools
 import lzma
 import re
 import string
+import tempfile
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,7 +55,6 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _ESCAPE = re.compile(r"(?:(?:%[0-9A-Fa-f]{2})+|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 
-_ODD = re.compile(r"[\x00-\x08\x0e-\x1f]")
 #: All characters that a secret or an encoded stretch may hold.
 _WITHIN = string.ascii_letters + string.digits + "+/_.=-\"' :%\\{}&#;"
 
@@ -75,64 +80,48 @@ def _where(origin: Origin, start: int, end: int) -> tuple[int, int]:
     return min(a for a, _ in origin[start:end]), max(b for _, b in origin[start:end])
 
 
-def _plain(data: bytes) -> str | None:
-    """Decoded bytes as text, if they are text for the most part."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    odd = sum(1 for c in text if c < " " and c not in "\t\n\r\v\f")
-    return text if text and odd * 20 <= len(text) else None
+def _member(data: bytes):
+    """What decompresses data that begins so, or None."""
+    if data[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if data[:6] == b"\xfd7zXZ\x00" else None
 
 
-def _chunks(data: bytes) -> Iterator[bytes]:
-    """What compressed data holds, all its members, CHUNK bytes at a time; nothing if it isn't compressed. Damaged data ends where the damage is."""
-    while True:
-        if data[:2] == b"\x1f\x8b":
-            d = zlib.decompressobj(31)
-        elif data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            d = zlib.decompressobj()
-        elif data[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor(memlimit=64 << 20)
-        else:
-            return
+def _chunks(source: BinaryIO) -> Iterator[bytes]:
+    """What compressed data holds, all its members, CHUNK bytes at a time; nothing if it isn't compressed. Of damaged data what was unfolded before the chunk with the damage."""
+    data = source.read(CHUNK)
+    while (d := _member(data)) is not None:
         try:
-            out = d.decompress(data, CHUNK)
-            while out:
-                yield out
-                out = b"" if d.eof else d.decompress(getattr(d, "unconsumed_tail", b""), CHUNK)
+            while not d.eof:
+                if out := d.decompress(data, CHUNK):
+                    yield out
+                data = getattr(d, "unconsumed_tail", b"")
+                if not out and not d.eof and not (data := data + source.read(CHUNK)):
+                    return
         except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError):
             return
-        if not d.eof:
-            return
         data = d.unused_data.lstrip(b"\0")
-
-
-def _is_text(chunks: Iterator[bytes]) -> bool:
-    """What _plain() asks for, of all chunks together."""
-    decoder, size, odd = codecs.getincrementaldecoder("utf-8")(), 0, 0
-    try:
-        for chunk in chunks:
-            text = decoder.decode(chunk)
-            size += len(text)
-            odd += len(_ODD.findall(text))
-    except UnicodeDecodeError:
-        return False
-    return odd * 20 <= size
+        while len(data) < 6 and (more := source.read(CHUNK)):
+            data = (data + more).lstrip(b"\0")
 
 
 def _parts(data: bytes) -> Iterator[bytes | str]:
-    """Data that isn't compressed as it is, or else its text in pieces; a character that no secret or encoded stretch holds is where a piece may end."""
-    chunks = _chunks(data)
-    if (first := next(chunks, None)) is None:
-        yield data
-    elif next(chunks, None) is None:
-        yield _plain(first) or ""
-    elif _is_text(_chunks(data)):
-        decoder, held = codecs.getincrementaldecoder("utf-8")(), []
-        for chunk in _chunks(data):
+    """Data as it is, then the layer that it unfolds to, what that unfolds to, and so on until nothing does or a layer comes again.
+
+    Unfolded layers come as text in pieces; a character that no secret or encoded stretch holds is where a piece may end."""
+    yield data
+    source, seen = io.BytesIO(data), {hashlib.sha512(data).digest()}
+    while (first := next(chunks := _chunks(source), None)) is not None:
+        folded = len(first) < 6 or _member(first) is not None
+        decoder, held, kept, digest = codecs.getincrementaldecoder("utf-8")("replace"), [], tempfile.SpooledTemporaryFile(CHUNK), hashlib.sha512()
+        for chunk in itertools.chain([first], chunks):
+            if folded:
+                kept.write(chunk)
+                digest.update(chunk)
             text = decoder.decode(chunk)
             head = text.rstrip(_WITHIN)
             if head:
@@ -140,6 +129,13 @@ def _parts(data: bytes) -> Iterator[bytes | str]:
                 held = []
             held.append(text[len(head) :])
         yield "".join(held)
+        source.close()
+        if not folded or digest.digest() in seen:
+            kept.close()
+            return
+        seen.add(digest.digest())
+        kept.seek(0)
+        source = kept
 
 
 def _bytes(run: str) -> tuple[str, list[tuple[int, int]]]:
@@ -197,7 +193,7 @@ def _encoded(layer: str) -> Iterator[tuple[int, int, bytes]]:
 
 def _held(part: bytes | str) -> tuple[set[int], set[bytes]]:
     """The kinds of secrets in a piece of text, its escapes replaced until none is left, and the bytes encoded in it."""
-    layer = _plain(part) if isinstance(part, bytes) else part
+    layer = part.decode("utf-8", "replace") if isinstance(part, bytes) else part
     kinds, inner = set(), set()
     while layer:
         kinds.update(kind for _, kind, _ in scan(layer))

@@ -223,6 +223,26 @@ def test_compressed_layers_are_read_to_their_end(pack):
         assert [k for _, k, _ in secrets.secrets(t)[1]] == [0]
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_what_was_compressed_again_is_unfolded(pack, monkeypatch):
+    """Compressed layers in compressed layers, small and over a chunk, whatever bytes stand around a secret; a layer that unfolds to itself ends."""
+    s = b'password = "abcdefghijkl1234"'
+    noise = np.random.default_rng(3).integers(0, 256, secrets.CHUNK * 3 // 2, dtype=np.uint8).tobytes()
+    kinds = lambda data: [k for _, k, _ in secrets.secrets(base64.b64encode(data).decode())[1]]
+    for other in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+        assert kinds(pack(other(s))) == kinds(pack(other(pack(b64 := base64.b64encode(other(pack(s))))))) == [0], b64
+    assert kinds(pack(pack(noise + b"\n" + s + b"\n" + noise))) == [0]
+    assert kinds(pack(b"caf\xe9 \0\0\0\0" + s)) == kinds(b"caf\xe9 \0\0\0\0" + s) == kinds(b"x^2, " + s) == [0]
+    assert kinds(pack(b"a member, ") + s) == [0]
+    monkeypatch.setattr(secrets, "_chunks", lambda source: iter([source.read()]))
+    assert kinds(pack(s)) in ([], [0])
+
+
+def test_large_dictionaries_are_read():
+    s = b'password = "abcdefghijkl1234"'
+    assert [k for _, k, _ in secrets.secrets(base64.b64encode(lzma.compress(s, preset=9)).decode())[1]] == [0]
+
+
 def test_cycles_of_layers_end(monkeypatch):
     monkeypatch.setattr(secrets, "_held", lambda data: ({data[0] % 3}, {bytes([(data[0] + 1) % 3])}))
     assert secrets._kinds({b"\x00"}) == {bytes([k]): {0, 1, 2} for k in range(3)}
