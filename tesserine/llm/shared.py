@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text that a vectorised step handles at once, a little under 1 MB, as tables of powers come in sizes of two.
 #: A longer document is a step of its own.
 STEP_BYTES = (1 << 20) - 16
+#: Whether Spark removes the shuffle files of a query when it ends, and not when the driver comes to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,10 +34,15 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends there and survives lost executors.
 
-    The files go when the application ends.
+    The files go when the application ends, what was shuffled for them as soon as they are written.
     """
     path = f"{shared_folder(spark)}/tesserine/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
@@ -44,10 +51,11 @@ def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
     return out
 
 
-def drop(spark: SparkSession, df: DataFrame) -> None:
-    """Removes the files of a table that cut() wrote, once nothing reads it any more, and lets the driver find the shuffle files that nothing refers to."""
-    where = df.__dict__["_written"]
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def drop(spark: SparkSession, *tables: DataFrame) -> None:
+    """Removes the files of tables that cut() wrote, once nothing reads them any more, and lets the driver find the shuffle files that nothing refers to."""
+    for df in tables:
+        where = df.__dict__["_written"]
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     spark.sparkContext._jvm.System.gc()
 
 

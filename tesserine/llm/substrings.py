@@ -266,8 +266,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = 50) -> Da
     # classes are a table of their own, so that the join can split the class that holds a third of all passages
     classes = shared.cut(spark, passages.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h", "g", "first"))
     placed = shared.cut(spark, passages.join(classes, ["h", "g"], "left").select("doc_id", "c", "at", "n", F.coalesce(F.col("doc_id") == F.col("first"), F.lit(True)).alias("own"), F.col("first").isNotNull().alias("copied")))
-    shared.drop(spark, passages)
-    shared.drop(spark, classes)
+    shared.drop(spark, passages, classes)
     copies = placed.filter("not own").select("doc_id", "c", F.col("at").alias("start"), F.expr(f"at + n + {length - 1}").alias("end"))
     own = placed.filter("own").select("doc_id", "c", "at", "copied")
     places = own.select("doc_id", "c", "at").mapInArrow(_places, "k long")
@@ -285,7 +284,9 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = 50) -> Da
     held = held.select("*", shard).join(salts, "shard").select("shard", F.expr("cast(pmod(xxhash64(doc_id, at), parts) as int)").alias("part"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(False).alias("stream"), "doc_id", "c", "at", "text")
     streamed = left.select("*", shard).join(salts, "shard").select("shard", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.expr("cast(pmod(xxhash64(doc_id), salts) as int)").alias("salt"), F.lit(True).alias("stream"), "doc_id", "c", "at", "text")
     together = held.union(streamed).repartition(shared.partitions(spark), "shard", "part", "salt").sortWithinPartitions("shard", "part", "salt", "stream", "doc_id")
-    return copies.union(together.mapInArrow(_matched(length), "doc_id long, c int, start int, end int"))
+    spans = shared.cut(spark, copies.union(together.mapInArrow(_matched(length), "doc_id long, c int, start int, end int")))
+    shared.drop(spark, placed, left, firsts, salts)
+    return spans
 
 
 def _kept(batches):
@@ -314,7 +315,7 @@ def _digested(batches):
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, digest: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) for each row; with ``digest``, kept_sha256 in place of the text."""
-    spans = shared.cut(spark, repeated_spans(spark, docs, length))
+    spans = repeated_spans(spark, docs, length)
     spans = spans.groupBy("doc_id", "c").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     with_spans = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _content()).join(spans, ["doc_id", "c"], "left").select("doc_id", "text", "spans")
     if digest:

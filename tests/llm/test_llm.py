@@ -13,6 +13,7 @@ import re
 import time
 import urllib.parse
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -771,3 +772,29 @@ def test_substrings_of_rows_with_one_doc_id(spark):
     rows = [(1, a), (2, a), (2, u), (2, f"{b} {a}"), (3, u)]
     got = sorted((r["doc_id"], r["kept_text"]) for r in substrings.remove_repeats(spark, of_texts(spark, rows), 50).collect())
     assert got == sorted([(1, a), (2, ""), (2, u), (2, b), (3, "")])
+
+
+def shuffled(spark):
+    """The shuffle files that stand in a local session."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {f for d in manager.localDirs() for f in Path(d.getPath()).rglob("shuffle_*.data")}
+
+
+def cut_and_look(spark, df, cut=shared.cut):
+    """shared.cut(), after which no shuffle file of its own stands; nobody collects garbage here."""
+    before = shuffled(spark)
+    out = cut(spark, df)
+    until = time.time() + 5
+    while (left := shuffled(spark) - before) and time.time() < until:
+        time.sleep(0.05)
+    assert not left
+    return out
+
+
+def test_substrings_leave_no_tables_and_shuffle_files(spark, docs, monkeypatch):
+    folder = Path(shared.shared_folder(spark).removeprefix("file://")) / "tesserine"
+    before = {p.name for p in folder.iterdir()} if folder.exists() else set()
+    monkeypatch.setattr(shared, "cut", cut_and_look)
+    rows = substrings.remove_repeats(spark, docs, 50)
+    assert len({p.name for p in folder.iterdir()} - before) == 1  # the spans, which the rows are joined with
+    assert rows.count() == docs.count()
