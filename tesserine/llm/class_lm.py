@@ -586,7 +586,7 @@ def exchanged(spark: SparkSession, encoded: DataFrame, rounds: int | None = ROUN
         if not moved or risen < LEAST_RISE * now.sum():
             break
     final = settle(counted, table, 0.0, 0)
-    shared.drop(spark, counted)
+    shared.drop(spark, counted, *([] if kept is None else [kept]))
     return Clusters(final, table, reached)
 
 

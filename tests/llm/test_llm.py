@@ -798,3 +798,13 @@ def test_substrings_leave_no_tables_and_shuffle_files(spark, docs, monkeypatch):
     rows = substrings.remove_repeats(spark, docs, 50)
     assert len({p.name for p in folder.iterdir()} - before) == 1  # the spans, which the rows are joined with
     assert rows.count() == docs.count()
+
+
+def test_exchange_leaves_no_shuffle_files(spark, docs, monkeypatch):
+    """What a step of a round shuffles goes before the next writes; in the end the words' places stand alone beside the chunks."""
+    folder = Path(shared.shared_folder(spark).removeprefix("file://")) / "tesserine"
+    encoded = shared.cut(spark, docs.select("doc_id", "text", F.lit(True).alias("train")).mapInArrow(class_lm._encode, class_lm._ENCODED))
+    before = {p.name for p in folder.iterdir()}
+    monkeypatch.setattr(shared, "cut", cut_and_look)
+    found = class_lm.exchanged(spark, encoded, 2, 20)
+    assert {p.name for p in folder.iterdir()} - before == {found.slices._written.getName()}
