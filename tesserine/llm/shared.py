@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a vectorised step handles at once, a little under 1 MB, as tables of powers come in sizes of two.
@@ -34,7 +35,8 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends there and survives lost executors.
 
-    The files go when the application ends, what was shuffled for them as soon as they are written.
+    The files go when the application ends, what was shuffled for them as soon as they are written, and so does what the
+    driver's allocator keeps of it.
     """
     path = f"{shared_folder(spark)}/tesserine/{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
@@ -43,6 +45,7 @@ def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    trim(spark)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
@@ -51,6 +54,25 @@ def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
     return out
 
 
+def trim(spark: SparkSession) -> bool:
+    """Gives native memory that the driver's JVM has freed back to the system; whether the JVM can (HotSpot on glibc).
+
+    The allocator keeps freed blocks for each of hundreds of threads. They stand beside the heap and grow with each query planned.
+    """
+    jvm, new = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    # by the interface's method, as the server's own class isn't open to Py4J
+    invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    given = new(jvm.java.lang.Object, 4)
+    given[0], given[1] = name, "systemTrimNativeHeap"
+    try:
+        invoke.invoke(server, given)
+    except Py4JJavaError:  # another JVM or C library
+        return False
+    return True
+
+
 def drop(spark: SparkSession, *tables: DataFrame) -> None:
     """Removes the files of tables that cut() wrote, once nothing reads them any more, and lets the driver find the shuffle files that nothing refers to."""
     for df in tables:

@@ -2,12 +2,13 @@
 
 import hashlib
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tesserine.llm import class_lm, decontamination, near_duplicates, packing, personal_data, quality_classifier, quality_rules, resharding, secrets, substrings
+from tesserine.llm import class_lm, decontamination, near_duplicates, packing, personal_data, quality_classifier, quality_rules, resharding, secrets, shared, substrings
 
 CLASHING = ["t", "words", "base", "wide", "found", "k", "rank", "salt", "shard", "block", "size", "content", "features", "quality", "kept", "spans", "id", "band", "h", "n", "__row", "__t"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
@@ -143,3 +144,24 @@ def test_pipeline_keeps_clean_rows_and_drops_the_rest(spark):
     single = {r["doc_id"] for r in near_duplicates.near_duplicates(spark, rest, shingle=5).filter("kept").collect()}
     leaks = {r["doc_id"] for r in decontamination.contaminated(spark, rest, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
     assert got == single - leaks
+
+
+def test_cut_gives_freed_native_memory_back(spark):
+    """Deflaters keep their state in native memory; the blocks of those that ended lie below one that is still there."""
+    if not shared.trim(spark):
+        pytest.skip("the JVM can't trim its native heap")
+    jvm = spark.sparkContext._jvm
+    smaps = f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup"
+
+    def resident():
+        with open(smaps) as f:
+            return int(re.search(r"\nRss:\s+(\d+)", f.read())[1]) / 1024
+
+    shared.cut(spark, spark.range(10))
+    made = [jvm.java.util.zip.Deflater() for _ in range(1500)]
+    for x in made[:-1]:
+        x.end()
+    before = resident()
+    shared.cut(spark, spark.range(10))
+    assert resident() < before - 60
+    made[-1].end()
