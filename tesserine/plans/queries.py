@@ -433,7 +433,8 @@ def cache_two_pass(spark, d):
     """Two passes over all keys with room for all: the second hits throughout."""
     log = cache.two_passes(tables.query_log(spark, d))
     numbered = storage.numbered(spark, log, "turn", "key")
-    replayed = cache.replay(spark, numbered.select("seq", "key"), 1 << 20).join(numbered.select("seq", "turn"), "seq")
+    room = max(1 << 20, numbered.count())
+    replayed = cache.replay(spark, numbered.select("seq", "key"), room).join(numbered.select("seq", "turn"), "seq")
     return replayed.groupBy("turn").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
 
 

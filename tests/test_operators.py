@@ -133,6 +133,29 @@ def test_replay_equals_simulation(spark, chunk):
     assert [r["hit"] for r in cache.replay(spark, log, 8, chunk).orderBy("seq").collect()] == expected
 
 
+@pytest.mark.parametrize("capacity", [1 << 20, 15_000])
+def test_replay_of_a_large_cache(spark, capacity):
+    """Two passes over 20,000 keys, with room for all and for less: states don't go along with each access of a chunk."""
+    n = 20_000
+    log = spark.range(2 * n).select(F.col("id").alias("seq"), (F.col("id") % n).alias("key"))
+    got = cache.replay(spark, log, capacity, 4000)
+    assert "array" not in got._jdf.queryExecution().optimizedPlan().toString().lower() and "held" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.agg(F.count("*"), F.count_if("hit")).first() == (2 * n, n if capacity > n else 0)
+
+
+def test_replay_goes_on_from_what_is_held(spark):
+    rng = np.random.default_rng(9)
+    keys = [int(k) for k in rng.zipf(1.4, 400) % 50]
+    log = spark.createDataFrame(list(enumerate(keys)), "seq long, key long")
+    whole = {r["seq"]: r["hit"] for r in cache.replay(spark, log, 8, 50).collect()}
+    held, got = None, {}
+    for low, high in [(0, 130), (130, 140), (140, 400)]:
+        part = log.filter(F.col("seq").between(low, high - 1))
+        got |= {r["seq"]: r["hit"] for r in cache.replay(spark, part, 8, 50, held).collect()}
+        held = cache.last_keys(part, 8, held)
+    assert got == whole
+
+
 def test_approximate_replay_is_one_cache(spark):
     """Images with near hashes hit each other whatever their ids, and all share the capacity."""
     rng = np.random.default_rng(4)
