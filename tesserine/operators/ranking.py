@@ -11,10 +11,15 @@ from pyspark.sql import functions as F
 
 from tesserine.config import HASH_LIMIT, WEIGHTS
 from tesserine.functions import hashes, vectors
+from tesserine.operators import lsh
 from tesserine.operators.lsh import matrix
 
 #: Query vectors that are broadcast at once.
 QUERY_BLOCK = 2048
+#: Products of queries and rows that are held at once, and pairs that are scored at once.
+PAIRS, SLICE = 1 << 21, 1 << 16
+#: Half of the last place of a score, and what products may differ from a cosine.
+HALF, SLACK = 5e-7, 1e-9
 
 
 def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -61,20 +66,123 @@ def _best(sent, k: int, exclude_self: bool):
         ids, q = sent.value
         if not len(ids):
             return
-        qn = np.sqrt((q * q).sum(1))
+        best = Best(ids, q, k)
+        for batch in batches:
+            if batch.num_rows:
+                best.see(batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1)), exclude_self)
+        yield from best.rows()
+
+    return run
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    n = np.sqrt((v * v).sum(1))[:, None]
+    return np.where(n >= vectors.TINY, v / np.where(n >= vectors.TINY, n, 1.0), 0.0)
+
+
+class Best:
+    """The k best rows of each query, ties by id, over blocks of rows; holds k rows a query and PAIRS products.
+
+    A matrix product of unit vectors tells which rows may be among the k; only those get the cosine by which they are ranked.
+    """
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int) -> None:
+        self.ids, self.q, self.k, self.unit = ids, q, k, _unit(q)
+        self.score, self.own = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.newest = np.iinfo(np.int64).min
+
+    def see(self, own: np.ndarray, e: np.ndarray, exclude_self: bool) -> None:
+        step = max(1, PAIRS // len(self.ids))
+        for at in range(0, len(own), step):
+            some, rows = own[at : at + step], e[at : at + step]
+            near = self.unit @ _unit(rows).T
+            if exclude_self:
+                near[self.ids[:, None] == some[None, :]] = -np.inf
+            self.add(some, rows, near)
+
+    def add(self, own: np.ndarray, e: np.ndarray, near: np.ndarray, allowed: np.ndarray | None = None) -> None:
+        """A block of rows and its products with the queries; only ``allowed`` pairs count, and none of -inf."""
+        edge, m = self.score[:, -1], len(own)
+        bar = edge + (HALF if own.min() > self.newest else -HALF) - SLACK  # a tie with the last one held only helps a smaller id
+        self.newest = max(self.newest, int(own.max()))
+        unfilled = np.flatnonzero(np.isneginf(edge)) if m > self.k else ()
+        if len(unfilled) and allowed is not None:
+            unfilled = unfilled[allowed[unfilled].sum(1) > self.k]
+        if len(unfilled):
+            of = near[unfilled] if allowed is None else np.where(allowed[unfilled], near[unfilled], -np.inf)
+            bar[unfilled] = np.partition(of, m - self.k, axis=1)[:, m - self.k] - 2 * HALF - SLACK
+        chosen = near >= np.maximum(bar, -2.0)[:, None]
+        i, j = np.nonzero(chosen if allowed is None else chosen & allowed)
+        if not len(i):
+            return
+        score = np.concatenate([np.round(_cosine(self.q[i[a : a + SLICE]], e[j[a : a + SLICE]]), 6) + 0.0 for a in range(0, len(i), SLICE)])
+        touched = np.unique(i)
+        of = np.concatenate([np.repeat(touched, self.k), i])
+        score, own = np.concatenate([self.score[touched].ravel(), score]), np.concatenate([self.own[touched].ravel(), own[j]])
+        order = np.lexsort((own, -score, of))
+        starts = np.searchsorted(of[order], touched)
+        keep = order[(starts[:, None] + np.arange(self.k)).ravel()]
+        self.score[touched], self.own[touched] = score[keep].reshape(-1, self.k), own[keep].reshape(-1, self.k)
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        real = np.isfinite(self.score)
+        return np.repeat(self.ids, real.sum(1)), self.own[real], self.score[real]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        q, own, score = self.found()
+        for a in range(0, len(q), SLICE):
+            yield _batch(q[a : a + SLICE], own[a : a + SLICE], score[a : a + SLICE])
+
+
+def _batch(q: np.ndarray, own: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(own, pa.int64()), pa.array(score, pa.float64())], ["query_id", "image_id", "score"])
+
+
+def in_buckets(queries: DataFrame, rows: DataFrame, k: int, tables: int, bits: int, dim: int, seed: int = 42, exclude_self: bool = True) -> DataFrame:
+    """W1, W2, W4 for query sets of any size: (query_id, rank, image_id, score), the k best of all candidates of each query.
+
+    No pair leaves the task that makes it. The vectors of a bucket meet in one place, about lsh.PART queries with all rows in
+    the order of their ids, and each query keeps its k best there; the best of all its buckets are among those.
+    """
+    hot = lsh.parts(lsh.postings(queries, tables, bits, dim, seed))
+    q, r = lsh.dealt(lsh.postings_with_vectors(queries, tables, bits, dim, seed), lsh.postings_with_vectors(rows, tables, bits, dim, seed), hot)
+    columns, cell = ["image_id", "embedding", "table_id", "bucket_key", "part"], ["table_id", "bucket_key", "part"]
+    both = q.select(*columns, F.lit(0).alias("side")).union(r.select(*columns, F.lit(1)))
+    met = both.repartition(*cell).sortWithinPartitions(*cell, "side", "image_id").mapInArrow(_in_cells(k, exclude_self), "query_id long, image_id long, score double")
+    return top(met.repartition("query_id").groupBy("query_id", "image_id").agg(F.max("score").alias("score")), k)
+
+
+def _in_cells(k: int, exclude_self: bool):
+    """Sorted rows (image_id, embedding, table_id, bucket_key, part, side): of each cell first its queries, then its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, asked, best, out, held = None, [], None, [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            e, own = matrix(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False)
-            en = np.sqrt((e * e).sum(1))
-            ok = (qn[:, None] >= vectors.TINY) & (en[None, :] >= vectors.TINY)
-            score = np.round(np.where(ok, q @ e.T / np.where(ok, qn[:, None] * en[None, :], 1.0), 0.0), 6) + 0.0
-            if exclude_self:
-                score[ids[:, None] == own[None, :]] = -np.inf
-            order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, : min(k, len(own))]
-            best = np.take_along_axis(score, order, axis=1)
-            real = np.isfinite(best)
-            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], order.shape)[real]), pa.array(own[order][real], pa.int64()), pa.array(best[real])], ["query_id", "image_id", "score"])
+            own, e, side = batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1)), batch.column(5).to_numpy()
+            keys = batch.column(3).dictionary_encode()
+            marks = np.stack([batch.column(2).to_numpy(), keys.indices.to_numpy(), batch.column(4).to_numpy(), side])
+            starts = np.concatenate([[0], np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1, [batch.num_rows]])
+            for a, b in zip(starts[:-1], starts[1:]):
+                now = (marks[0, a], keys.dictionary[int(marks[1, a])].as_py(), marks[2, a])
+                if now != cell:
+                    if best is not None:
+                        out.append(best.found())
+                        held += len(out[-1][0])
+                    cell, asked, best = now, [], None
+                    if held >= SLICE:
+                        yield _batch(*map(np.concatenate, zip(*out)))
+                        out, held = [], 0
+                if not side[a]:
+                    asked.append((own[a:b], e[a:b]))
+                elif asked:
+                    best = best or Best(*map(np.concatenate, zip(*asked)), k)
+                    best.see(own[a:b], e[a:b], exclude_self)
+        if best is not None:
+            out.append(best.found())
+        if out:
+            yield _batch(*map(np.concatenate, zip(*out)))
 
     return run
 

@@ -118,8 +118,7 @@ def expand_index(spark, d):
 @query
 def search_topk(spark, d):
     e = tables.embeddings(spark, d)
-    p = _posted(e)
-    return ranking.top(ranking.scored(lsh.candidates(p, p), e, e), 10)
+    return ranking.in_buckets(e, e, 10, T, H, DIM)
 
 
 @query

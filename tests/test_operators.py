@@ -75,6 +75,49 @@ def test_k_over_the_number_of_rows_and_zero_query(spark):
     assert [(r["rank"], r["image_id"], r["score"]) for r in sorted(got)] == [(1, 1, 0.0), (2, 2, 0.0)]
 
 
+@pytest.mark.parametrize("exclude_self", [True, False])
+def test_search_in_buckets_equals_scored_candidates(spark, monkeypatch, exclude_self):
+    """Ties, copies, zero vectors, buckets in parts and blocks of few rows; no pair is shuffled."""
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(150, 6)).round(1)
+    v[20:60], v[60:64] = v[3], 0
+    rows = frame(spark, list(enumerate(v)))
+    queries = rows.filter("image_id % 3 > 0")
+    posted = lsh.postings(rows, 3, 2, 6)
+    expected = ranking.top(ranking.scored(lsh.candidates(posted.filter("image_id % 3 > 0"), posted, exclude_self), rows, rows), 5)
+    expected = sorted(tuple(r) for r in expected.collect())
+    for most in (4096, 7):
+        monkeypatch.setattr(lsh, "PART", most)
+        got = ranking.in_buckets(queries, rows, 5, 3, 2, 6, exclude_self=exclude_self)
+        assert sorted(tuple(r) for r in got.collect()) == expected
+    from tesserine.plans import queries as plans
+
+    assert "Join Inner" not in plans.search_topk(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("allowed", [True, False])
+def test_best_over_blocks(monkeypatch, allowed):
+    """Ids in any order, ties, copies, blocks of few rows, some pairs left out."""
+    monkeypatch.setattr(ranking, "PAIRS", 60)
+    monkeypatch.setattr(ranking, "SLICE", 16)
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(90, 3)).round(1)
+    v[5:30], v[30] = v[2], 0
+    ids, own = np.arange(12), rng.permutation(90)
+    mask = rng.random((12, 90)) < 0.3 if allowed else np.ones((12, 90), bool)
+    best = ranking.Best(ids, v[:12], 4)
+    if allowed:
+        for a in range(0, 90, 7):
+            some = own[a : a + 7]
+            best.add(some, v[some], best.unit @ ranking._unit(v[some]).T, mask[:, some])
+    else:
+        best.see(own, v[own], False)
+    score = np.array([ranking._cosine(np.repeat(v[i : i + 1], 90, 0), v) for i in range(12)]).round(6)
+    q, found, _ = best.found()
+    for i in range(12):
+        assert list(found[q == i]) == sorted(np.flatnonzero(mask[i]), key=lambda x: (-score[i, x], x))[:4]
+
+
 def test_ring_equals_bisect(spark):
     places = ring.ring(spark, ["a", "b", "c"])
     at = sorted((int(hashlib.md5(f"{n}_virtual_{i}".encode()).hexdigest()[:8], 16), n) for n in "abc" for i in range(3))
