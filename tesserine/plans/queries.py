@@ -68,8 +68,8 @@ def bucket_lists(spark, d):
 
 @query
 def lsh_candidates(spark, d):
-    p = _posted(tables.embeddings(spark, d))
-    return lsh.candidates(p, p)
+    e = tables.embeddings(spark, d)
+    return lsh.pairs(e, e, T, H, DIM, F.col("query_id") != F.col("image_id")).select("query_id", "image_id")
 
 
 @query

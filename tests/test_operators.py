@@ -45,6 +45,21 @@ def test_empty_corpus(spark):
     assert balance.stats(balance.sizes(posted)).count() == 0
 
 
+@pytest.mark.parametrize("bits, most", [(3, 4096), (3, 5), (70, 4096)])
+def test_pairs_are_candidates_with_votes_and_not_shuffled(spark, monkeypatch, bits, most):
+    monkeypatch.setattr(lsh, "PART", most)
+    rng = np.random.default_rng(10)
+    v = rng.normal(size=(80, 4))
+    v[40:50] = v[3]
+    rows = frame(spark, list(enumerate(v)))
+    posted = lsh.postings(rows, 4, bits, 4)
+    got = lsh.pairs(rows.filter("image_id < 60"), rows, 4, bits, 4, F.col("query_id") != F.col("image_id"))
+    assert sorted(map(tuple, got.select("query_id", "image_id").collect())) == sorted(map(tuple, lsh.candidates(posted.filter("image_id < 60"), posted).collect()))
+    up = lsh.pairs(rows, rows, 4, bits, 4, F.col("query_id") < F.col("image_id"))
+    assert sorted(map(tuple, up.collect())) == sorted(map(tuple, lsh.table_votes(posted).collect()))
+    assert str(up._jdf.queryExecution().optimizedPlan()).rstrip().split("Join")[0].count("Aggregate") == 0
+
+
 def test_caps(spark):
     rows = [(1, i, t) for t in range(2) for i in range(t * 3, t * 3 + 5)]
     found = spark.createDataFrame(rows, "query_id long, image_id long, table_id int")
