@@ -92,7 +92,8 @@ def capped_flat(spark, d):
 
 @query
 def table_votes(spark, d):
-    return lsh.table_votes(_posted(tables.embeddings(spark, d)))
+    e = tables.embeddings(spark, d)
+    return lsh.pairs(e, e, T, H, DIM, F.col("query_id") < F.col("image_id")).select(F.col("query_id").alias("a"), F.col("image_id").alias("b"), "votes")
 
 
 @query

@@ -60,6 +60,12 @@ def test_pairs_are_candidates_with_votes_and_not_shuffled(spark, monkeypatch, bi
     assert str(up._jdf.queryExecution().optimizedPlan()).rstrip().split("Join")[0].count("Aggregate") == 0
 
 
+def test_votes_shuffle_no_pairs(spark):
+    from tesserine.plans import queries as plans
+
+    assert "Aggregate" not in plans.table_votes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0]
+
+
 def test_caps(spark):
     rows = [(1, i, t) for t in range(2) for i in range(t * 3, t * 3 + 5)]
     found = spark.createDataFrame(rows, "query_id long, image_id long, table_id int")
