@@ -81,7 +81,7 @@ def candidate_counts(spark, d):
 @query
 def capped_candidates(spark, d):
     p = _posted(tables.embeddings(spark, d))
-    return lsh.capped(lsh.matches(p, p).filter("query_id <> image_id"), 20, T)
+    return lsh.capped_in_buckets(p, p, 20, T)
 
 
 @query

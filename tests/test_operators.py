@@ -74,6 +74,29 @@ def test_caps(spark):
     assert sorted(r["image_id"] for r in lsh.capped_flat(found.select("query_id", "image_id").distinct(), 3).collect()) == [0, 1, 2]
 
 
+@pytest.mark.parametrize("cap", [1, 5, 9, 200])
+def test_caps_in_buckets_equal_caps_of_pairs(spark, cap):
+    rng = np.random.default_rng(11)
+    rows = frame(spark, list(enumerate(rng.normal(size=(90, 4)))))
+    posted = lsh.postings(rows, 3, 2, 4)
+    some = posted.filter("image_id % 3 > 0")
+    pairs = lsh.matches(some, posted).filter("query_id <> image_id")
+    rows_of = lambda df: sorted(map(tuple, df.collect()))
+    assert rows_of(lsh.capped_in_buckets(some, posted, cap, 3)) == rows_of(lsh.capped(pairs, cap, 3))
+    assert rows_of(lsh.capped_flat_in_buckets(some, posted, cap)) == rows_of(lsh.capped_flat(pairs.select("query_id", "image_id").distinct(), cap))
+
+
+@pytest.mark.parametrize("name", ["capped_candidates"])
+def test_caps_make_no_pairs(spark, name):
+    """The join gives one row a posting; with pairs there were thousands of rows more."""
+    from tesserine.plans import queries as plans
+
+    e = tables.embeddings(spark, "/root/testdata/sf0.001")
+    plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")
+    joins = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in joins and e.count() * 20 >= plan.count() > 0
+
+
 def test_exact_search_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(60, 8))
