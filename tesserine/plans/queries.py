@@ -87,7 +87,7 @@ def capped_candidates(spark, d):
 @query
 def capped_flat(spark, d):
     p = _posted(tables.embeddings(spark, d))
-    return lsh.capped_flat(lsh.candidates(p, p), 15)
+    return lsh.capped_flat_in_buckets(p, p, 15)
 
 
 @query

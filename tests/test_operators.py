@@ -86,7 +86,7 @@ def test_caps_in_buckets_equal_caps_of_pairs(spark, cap):
     assert rows_of(lsh.capped_flat_in_buckets(some, posted, cap)) == rows_of(lsh.capped_flat(pairs.select("query_id", "image_id").distinct(), cap))
 
 
-@pytest.mark.parametrize("name", ["capped_candidates"])
+@pytest.mark.parametrize("name", ["capped_candidates", "capped_flat"])
 def test_caps_make_no_pairs(spark, name):
     """The join gives one row a posting; with pairs there were thousands of rows more."""
     from tesserine.plans import queries as plans
