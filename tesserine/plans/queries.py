@@ -696,8 +696,8 @@ def stream_cache(spark, d):
     """ST3: hits of the cache over the log as a stream in one batch."""
     log = tables.query_log(spark, d).select("seq", "key")
     where = _scratch(spark)
-    log.coalesce(1).write.parquet(f"{where}/in")
-    live.cached(live.read(spark, log, f"{where}/in"), f"{where}/state", f"{where}/out", CAPACITY).awaitTermination()
+    log.write.parquet(f"{where}/in")
+    live.cached(live.read(spark, log, f"{where}/in", files_a_batch=1 << 30), f"{where}/state", f"{where}/out", CAPACITY).awaitTermination()
     return spark.read.parquet(f"{where}/out").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
 
 

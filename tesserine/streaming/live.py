@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,23 +31,20 @@ def search(stream: DataFrame, rows: DataFrame, posted: DataFrame, checkpoint: st
 
 
 def cached(stream: DataFrame, checkpoint: str, out: str, capacity: int):
-    """ST3: one LRU cache as streaming state; writes (seq, key, hit). Micro-batches come in the order of seq; one task replays each."""
-
-    def step(_: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        lru = cache.LRU(capacity)
-        for key in state.get[0] if state.exists else []:
-            lru.put(int(key), True)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        hits = []
-        for key in rows["key"].tolist():
-            hits.append(lru.get(key) is not None)
-            if not hits[-1]:
-                lru.put(key, True)
-        state.update((list(lru.held),))
-        yield pd.DataFrame({"seq": rows["seq"], "key": rows["key"], "hit": hits})
-
-    rows = stream.withColumn("one", F.lit(0)).groupBy("one").applyInPandasWithState(step, "seq long, key long, hit boolean", "held array<long>", "append", "NoTimeout")
-    return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """ST3: one LRU cache over a stream; writes (seq, key, hit) in a folder an epoch.
+
+    Micro-batches come in the order of seq. Each is replayed in chunks over all tasks from what the cache held after the last
+    one, which is kept by epoch beside the checkpoint: an epoch that runs again reads the same and overwrites its own. No task
+    holds more than a chunk, however large a micro-batch is.
+    """
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        held = spark.read.parquet(f"{checkpoint}/held/{epoch - 1}") if epoch else None
+        cache.replay(spark, batch, capacity, held=held).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        cache.last_keys(batch, capacity, held).write.mode("overwrite").parquet(f"{checkpoint}/held/{epoch}")
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latency(stream: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:

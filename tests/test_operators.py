@@ -273,6 +273,25 @@ def test_stream_cache_equals_replay(spark, tmp_path):
     assert got == [(r["seq"], r["hit"]) for r in cache.replay(spark, frame, 8, 1000).orderBy("seq").collect()]
 
 
+def test_stream_cache_holds_a_chunk_at_most(spark, tmp_path, monkeypatch):
+    """Files of one micro-batch in any order; 4000 accesses go to Python in chunks of 500 and not at once."""
+    real = cache.replay
+    monkeypatch.setattr(live.cache, "replay", lambda s, log, capacity, held=None: real(s, log, capacity, 500, held).withColumn("task", F.spark_partition_id()))
+    rng = np.random.default_rng(12)
+    log = [(i, int(k)) for i, k in enumerate(rng.zipf(1.3, 4000) % 90)]
+    frame = spark.createDataFrame(log, "seq long, key long")
+    frame.repartition(5, "key").write.parquet(f"file://{tmp_path}/in")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        live.cached(live.read(spark, frame, f"file://{tmp_path}/in", 1 << 30), f"file://{tmp_path}/state", f"file://{tmp_path}/out", 8).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    out = spark.read.parquet(f"file://{tmp_path}/out")
+    got = [(r["seq"], r["hit"]) for r in out.orderBy("seq").collect()]
+    assert got == [(r["seq"], r["hit"]) for r in real(spark, frame, 8, 500).orderBy("seq").collect()] and len(got) == 4000
+    assert out.select("task").distinct().count() > 1
+
+
 def test_probe_equals_all_pairs(spark):
     rng = np.random.default_rng(4)
     held = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 50)]
