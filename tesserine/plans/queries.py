@@ -127,7 +127,7 @@ def search_unseen(spark, d):
     """Vectors that aren't in the corpus: the variants."""
     e = tables.embeddings(spark, d)
     v = tables.variants(e).filter("variant > 0").select("image_id", "embedding")
-    return ranking.top(ranking.scored(lsh.candidates(_posted(v), _posted(e)), v, e), 10)
+    return ranking.in_buckets(v, e, 10, T, H, DIM, exclude_self=False)
 
 
 @query

@@ -139,6 +139,18 @@ def test_search_in_buckets_equals_scored_candidates(spark, monkeypatch, exclude_
     assert "Join Inner" not in plans.search_topk(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["search_unseen"])
+def test_searches_go_by_bucket(spark, monkeypatch, name):
+    """Pairs aren't joined with their vectors."""
+    from tesserine.plans import queries as plans
+
+    def joined(*_):
+        raise AssertionError("pairs joined with vectors")
+
+    monkeypatch.setattr(ranking, "scored", joined)
+    assert plans.QUERIES[name](spark, "/root/testdata/sf0.001").columns
+
+
 @pytest.mark.parametrize("allowed", [True, False])
 def test_best_over_blocks(monkeypatch, allowed):
     """Ids in any order, ties, copies, blocks of few rows, some pairs left out."""
