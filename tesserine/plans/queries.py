@@ -40,11 +40,8 @@ def _neighbours(rows: DataFrame) -> DataFrame:
 def _variant_search(spark, sf_dir, k: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
     e = tables.embeddings(spark, sf_dir)
     v, truth = tables.variants(e), tables.truth(e)
-    rows = tables.searched(e)
-    queries = v.filter("variant = 0").select(F.col("image_id").alias("query_id"))
-    posted = _posted(rows)
-    found = lsh.candidates(posted.join(queries.withColumnRenamed("query_id", "image_id"), "image_id", "left_semi"), posted)
-    return queries, ranking.top(ranking.scored(found, rows, rows), k), truth
+    bases = v.filter("variant = 0").select("image_id", "embedding")
+    return bases.select(F.col("image_id").alias("query_id")), ranking.in_buckets(bases, tables.searched(e), k, T, H, DIM), truth
 
 
 # --- index
