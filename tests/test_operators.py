@@ -151,6 +151,22 @@ def test_searches_go_by_bucket(spark, monkeypatch, name):
     assert plans.QUERIES[name](spark, "/root/testdata/sf0.001").columns
 
 
+def test_exact_search_holds_a_block_of_products():
+    """2048 queries and a batch of 10,000 rows had over a GB in one task."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    v = np.random.default_rng(13).normal(size=(10_000, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.array(list(v))], ["image_id", "embedding"])
+    tracemalloc.start()
+    out = list(ranking._best(SimpleNamespace(value=(np.arange(2048), v[:2048])), 10, True)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in out) == 20_480 and peak < 200e6
+
+
 @pytest.mark.parametrize("allowed", [True, False])
 def test_best_over_blocks(monkeypatch, allowed):
     """Ids in any order, ties, copies, blocks of few rows, some pairs left out."""
