@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserine.config import FIXED_MS, GRID, MS_PER_CANDIDATE
-from tesserine.operators import lsh, ranking
+from tesserine.operators import ranking
+from tesserine.sources import storage
 
 KS = (1, 5, 10, 20)
 
@@ -43,22 +44,16 @@ def micro(queries: DataFrame, results: DataFrame, truth: DataFrame, k: int = 10)
 
 
 def sweep(spark: SparkSession, rows: DataFrame, queries: DataFrame, truth: DataFrame, dim: int) -> DataFrame:
-    """Every configuration of the grid. Tables are prefixes of larger ones, so each number of bits is hashed and joined once;
-    a candidate belongs to the configurations with more tables than the first table it is found in."""
-    wanted = queries.withColumnRenamed("query_id", "image_id")
-    found = None
-    for bits in sorted({h for _, h in GRID}):
-        posted = lsh.postings(rows, max(t for t, h in GRID if h == bits), bits, dim)
-        pairs = lsh.matches(posted.join(wanted, "image_id", "left_semi"), posted).filter("query_id <> image_id").groupBy("query_id", "image_id").agg(F.min("table_id").alias("first"))
-        pairs = pairs.withColumn("hash_size", F.lit(bits))
-        found = pairs if found is None else found.union(pairs)
-    scores = ranking.scored(found.select("query_id", "image_id").distinct(), rows.join(wanted, "image_id", "left_semi"), rows)
+    """Every configuration of the grid, over rows that are written once, dealt over all tasks. Tables are prefixes of larger
+    ones, so each number of bits is hashed once; the ten best of each query are ranked, all candidates are counted."""
+    rows = storage.cut(spark, rows.repartition(2 * spark.sparkContext.defaultParallelism, "image_id"))
     grid = F.broadcast(spark.createDataFrame(GRID, "num_tables int, hash_size int"))
-    each = found.join(scores, ["query_id", "image_id"]).join(grid, "hash_size").filter("first < num_tables")
-    best = Window.partitionBy("num_tables", "hash_size", "query_id").orderBy(F.desc("score"), "image_id")
+    wanted = rows.join(queries.withColumnRenamed("query_id", "image_id"), "image_id", "left_semi")
+    each = ranking.by_configuration(spark, wanted, rows, GRID, dim, 10)
+    best = Window.partitionBy("num_tables", "hash_size", "query_id").orderBy(F.desc_nulls_last("score"), "image_id")
     each = each.withColumn("rank", F.row_number().over(best)).join(truth.select("query_id", F.col("relevant_id").alias("image_id"), F.lit(1).alias("hit")), ["query_id", "image_id"], "left")
     relevant = truth.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
-    per = each.groupBy("num_tables", "hash_size", "query_id").agg(F.count("*").alias("n"), F.sum(F.when(F.col("rank") <= 1, F.col("hit"))).alias("h1"), F.sum(F.when(F.col("rank") <= 5, F.col("hit"))).alias("h5"), F.sum(F.when(F.col("rank") <= 10, F.col("hit"))).alias("h10"))
+    per = each.groupBy("num_tables", "hash_size", "query_id").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("rank") <= 1, F.col("hit"))).alias("h1"), F.sum(F.when(F.col("rank") <= 5, F.col("hit"))).alias("h5"), F.sum(F.when(F.col("rank") <= 10, F.col("hit"))).alias("h10"))
     every = queries.crossJoin(grid).join(per, ["num_tables", "hash_size", "query_id"], "left").join(relevant, "query_id", "left").na.fill(0)
     out = every.groupBy("num_tables", "hash_size").agg(F.round(F.avg("h1"), 6).alias("precision_at_1"), F.round(F.avg(F.col("h5") / F.col("n_relevant")), 6).alias("recall_at_5"), F.round(F.avg(F.col("h10") / 10), 6).alias("precision_at_10"), F.round(F.avg("n"), 6).alias("mean_candidates"))
     return out.withColumn("model_ms", F.round(FIXED_MS + F.col("mean_candidates") * MS_PER_CANDIDATE, 6))

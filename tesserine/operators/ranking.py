@@ -50,15 +50,68 @@ def top(scores: DataFrame, k: int) -> DataFrame:
 
 def nearest(spark: SparkSession, queries: DataFrame, rows: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
     """Exact search of a stated query set against all rows. Queries are broadcast in blocks; each batch of rows keeps its k best."""
+    return top(_by_blocks(spark, queries, rows, lambda sent: _best(sent, k, exclude_self), "query_id long, image_id long, score double"), k)
+
+
+def _by_blocks(spark: SparkSession, queries: DataFrame, rows: DataFrame, run, schema: str) -> DataFrame:
+    """run(broadcast ids and vectors of a block of queries) over batches of all rows, for each block."""
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     found = None
     for b in range(blocks):
         block = sorted((r["image_id"], r["embedding"]) for r in queries.filter(F.expr(f"pmod(xxhash64(image_id), {blocks}) = {b}")).collect())
         sent = spark.sparkContext.broadcast((np.array([x[0] for x in block], np.int64), np.array([x[1] for x in block], float)))
-        part = rows.select("image_id", "embedding").mapInArrow(_best(sent, k, exclude_self), "query_id long, image_id long, score double")
+        part = rows.select("image_id", "embedding").mapInArrow(run(sent), schema)
         found = part if found is None else found.union(part)
-    return top(found, k)
+    return found
+
+
+def by_configuration(spark: SparkSession, queries: DataFrame, rows: DataFrame, grid: list[tuple[int, int]], dim: int, k: int, seed: int = 42) -> DataFrame:
+    """(num_tables, hash_size, query_id, image_id, score, n) of the candidates of a stated query set in each configuration of an index.
+
+    Parts of the k best, each with its score, and of the number of candidates, n, which are summed. Blocks of queries go to all
+    rows; which tables a pair shares is read off the keys of both, so no pair and no posting is shuffled.
+    """
+    planes = {bits: lsh.projections(max(t for t, h in grid if h == bits), bits, dim, seed) for bits in sorted({h for _, h in grid})}
+    schema = "num_tables int, hash_size int, query_id long, image_id long, score double, n long"
+    return _by_blocks(spark, queries, rows, lambda sent: _in_grid(sent, grid, planes, k), schema)
+
+
+def _in_grid(sent, grid: list[tuple[int, int]], planes: dict[int, np.ndarray], k: int):
+    def codes(v: np.ndarray, bits: int) -> np.ndarray:
+        """A row of numbers a table; keys of up to 63 bits."""
+        p = planes[bits]
+        signs = (v @ p.reshape(-1, p.shape[2]).astype(np.float64).T >= 0).reshape(len(v), p.shape[0], bits)
+        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.int64) if bits <= 8 * np.dtype(t).itemsize)
+        return np.ascontiguousarray((signs @ (1 << np.arange(bits, dtype=np.int64))).astype(kind).T)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = sent.value
+        if not len(ids):
+            return
+        best, n, mine = {c: Best(ids, q, k) for c in grid}, {c: np.zeros(len(ids), np.int64) for c in grid}, {bits: codes(q, bits) for bits in planes}
+        unit, step = _unit(q), max(1, PAIRS // len(ids))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                some = batch.slice(at, step)
+                own, e = some.column(0).to_numpy(zero_copy_only=False), matrix(some.column(1))
+                near, others = unit @ _unit(e).T, ids[:, None] != own[None, :]
+                for bits in planes:
+                    theirs, shared = codes(e, bits), np.zeros(near.shape, bool)
+                    for t in range(len(theirs)):
+                        shared |= mine[bits][t][:, None] == theirs[t][None, :]
+                        if (c := (t + 1, bits)) in best:
+                            allowed = shared & others
+                            n[c] += allowed.sum(1)
+                            best[c].add(own, e, near, allowed)
+        for tables, bits in grid:
+            asked, own, score = best[tables, bits].found()
+            none = len(asked)
+            column = [np.concatenate([asked, ids]), pa.array([*own.tolist(), *[None] * len(ids)], pa.int64()), pa.array([*score.tolist(), *[None] * len(ids)], pa.float64()), pa.array([*[None] * none, *n[tables, bits].tolist()], pa.int64())]
+            one = lambda x: pa.array(np.full(none + len(ids), x, np.int32))
+            yield pa.RecordBatch.from_arrays([one(tables), one(bits), pa.array(column[0], pa.int64()), *column[1:]], ["num_tables", "hash_size", "query_id", "image_id", "score", "n"])
+
+    return run
 
 
 def _best(sent, k: int, exclude_self: bool):

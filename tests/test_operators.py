@@ -167,6 +167,34 @@ def test_exact_search_holds_a_block_of_products():
     assert sum(b.num_rows for b in out) == 20_480 and peak < 200e6
 
 
+def test_sweep_equals_plain_python_and_joins_no_pairs(spark, monkeypatch):
+    """Each configuration's counts and ranks, over blocks of queries, with copies among the rows."""
+    monkeypatch.setattr(ranking, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(ranking, "scored", None)
+    rng = np.random.default_rng(14)
+    v = rng.normal(size=(120, 6))
+    v[30:45] = v[2]
+    rows = frame(spark, list(enumerate(v)))
+    queries = spark.createDataFrame([(i,) for i in range(12)], "query_id long")
+    truth = spark.createDataFrame([(i, j) for i in range(12) for j in (i + 12, 31, 50)], "query_id long, relevant_id long")
+    grid = [(2, 3), (4, 3), (3, 2)]
+    monkeypatch.setattr(evaluate, "GRID", grid)
+    got = {(r["num_tables"], r["hash_size"]): r for r in evaluate.sweep(spark, rows, queries, truth, 6).collect()}
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    score = (unit @ unit.T).round(6)
+    for t, h in grid:
+        key = (np.einsum("nd,tbd->ntb", v, lsh.projections(t, h, 6).astype(float)) >= 0) @ (1 << np.arange(h))
+        n, h1, h5, h10 = [], [], [], []
+        for q in range(12):
+            found = [i for i in range(120) if i != q and (key[q] == key[i]).any()]
+            best = sorted(found, key=lambda i: (-score[q, i], i))
+            hit = [i in (q + 12, 31, 50) for i in best]
+            n.append(len(found))
+            h1.append(sum(hit[:1])), h5.append(sum(hit[:5]) / 3), h10.append(sum(hit[:10]) / 10)
+        r = got[t, h]
+        assert np.allclose([r["mean_candidates"], r["precision_at_1"], r["recall_at_5"], r["precision_at_10"]], [np.mean(x) for x in (n, h1, h5, h10)], atol=1e-6)
+
+
 @pytest.mark.parametrize("allowed", [True, False])
 def test_best_over_blocks(monkeypatch, allowed):
     """Ids in any order, ties, copies, blocks of few rows, some pairs left out."""
