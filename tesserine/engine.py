@@ -38,9 +38,14 @@ class Engine:
         return lsh.postings(rows, c.num_tables, c.hash_size, c.embedding_dim, c.random_seed)
 
     def batch_search(self, queries: DataFrame, top_k: int | None = None) -> DataFrame:
-        """(query_id, rank, image_id, score) for queries (image_id, embedding), as one plan for any number; all candidates are scored."""
-        found = lsh.candidates(self._postings(queries), self.posted, self.exclude_self)
-        return ranking.top(ranking.scored(found, queries, self.rows), top_k or self.config.top_k)
+        """(query_id, rank, image_id, score) for queries (image_id, embedding), as one plan for any number; all candidates are scored, bucket by bucket."""
+        c = self.config
+        return ranking.in_buckets(queries, self.rows, top_k or c.top_k, c.num_tables, c.hash_size, c.embedding_dim, c.random_seed, self.exclude_self)
+
+    def _lookup(self, query: DataFrame, top_k: int | None) -> DataFrame:
+        """The same for a query alone, whose few candidates are looked up in the postings."""
+        found = lsh.candidates(self._postings(query), self.posted, self.exclude_self)
+        return ranking.top(ranking.scored(found, query, self.rows), top_k or self.config.top_k)
 
     def search(self, embedding: Iterable[float] | None = None, image_id: int | None = None, top_k: int | None = None) -> list[tuple[int, float]]:
         """The best (id, score), best first, for a vector or for an image of the corpus."""
@@ -54,7 +59,7 @@ class Engine:
             if len(vector) != self.config.embedding_dim:
                 raise ValueError(f"a vector of {self.config.embedding_dim} values is needed")
             query = self.spark.createDataFrame([(-1, vector)], "image_id long, embedding array<double>")
-        found = [(r["image_id"], r["score"]) for r in sorted(self.batch_search(query, top_k).collect(), key=lambda r: r["rank"])]
+        found = [(r["image_id"], r["score"]) for r in sorted(self._lookup(query, top_k).collect(), key=lambda r: r["rank"])]
         self.log.append((len(found), 1000 * (time.perf_counter() - began)))
         return found
 

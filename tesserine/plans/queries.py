@@ -683,8 +683,7 @@ def stream_search(spark, d):
     e = storage.cut(spark, tables.embeddings(spark, d))
     where = _scratch(spark)
     e.filter("image_id % 50 = 0").repartition(2, "image_id").write.parquet(f"{where}/in")
-    posted = storage.cut(spark, _posted(e))
-    live.search(live.read(spark, e, f"{where}/in"), e, posted, f"{where}/state", lambda rows, epoch: rows.write.mode("overwrite").parquet(f"{where}/out/epoch={epoch}"), T, H, DIM).awaitTermination()
+    live.search(live.read(spark, e, f"{where}/in"), e, f"{where}/state", lambda rows, epoch: rows.write.mode("overwrite").parquet(f"{where}/out/epoch={epoch}"), T, H, DIM).awaitTermination()
     return spark.read.parquet(f"{where}/out").drop("epoch")
 
 

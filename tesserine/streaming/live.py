@@ -20,12 +20,11 @@ def maintain_index(stream: DataFrame, out: str, checkpoint: str, tables: int, bi
     return lsh.postings(stream, tables, bits, dim).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).partitionBy("table_id").trigger(availableNow=True).start()
 
 
-def search(stream: DataFrame, rows: DataFrame, posted: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], tables: int, bits: int, dim: int, k: int = 10):
+def search(stream: DataFrame, rows: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], tables: int, bits: int, dim: int, k: int = 10):
     """ST1: each micro-batch of query vectors is one batch search, whose results go to ``sink``."""
 
     def run(batch: DataFrame, epoch: int) -> None:
-        found = lsh.candidates(lsh.postings(batch, tables, bits, dim), posted)
-        sink(ranking.top(ranking.scored(found, batch, rows), k), epoch)
+        sink(ranking.in_buckets(batch, rows, k, tables, bits, dim), epoch)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

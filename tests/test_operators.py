@@ -139,7 +139,7 @@ def test_search_in_buckets_equals_scored_candidates(spark, monkeypatch, exclude_
     assert "Join Inner" not in plans.search_topk(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["search_unseen", "precision_recall_at_k", "precision_recall_by_query", "micro_pr", "curve_csv"])
+@pytest.mark.parametrize("name", ["search_unseen", "precision_recall_at_k", "precision_recall_by_query", "micro_pr", "curve_csv", "engine_batch", "stream_search"])
 def test_searches_go_by_bucket(spark, monkeypatch, name):
     """Pairs aren't joined with their vectors."""
     from tesserine.plans import queries as plans
